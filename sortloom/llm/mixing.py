@@ -20,16 +20,21 @@ table gives an empty result.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 SEED, BLOCK_WORDS, MAX_REPEAT, MAX_SHARDS = 17, 64, 3, 4096
 #: Words that a shard holds about: what one task orders at once.
 SHARD_WORDS = 2_000_000
 WEIGHTS = (5, 2, 1)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def waterfill(sizes: Sequence[int], weights: Sequence[int], cap: int = MAX_REPEAT) -> list[Fraction]:
@@ -112,47 +117,83 @@ def quotas(sized: DataFrame, block: int) -> DataFrame:
     sizes = [sum(by[s].values()) for s in names]
     targets = waterfill(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))])
     seats = round(Fraction(sum(targets), block)) if names else 0
-    blocks = sainte_lague(targets, seats, [-(-MAX_REPEAT * s // block) for s in sizes])
+    blocks = sainte_lague(targets, seats, [MAX_REPEAT * s // block for s in sizes])
     out = []
     for s, size, target, k in zip(names, sizes, targets, blocks, strict=True):
         shards = sorted(by[s])
         held = [by[s][x] for x in shards]
-        dealt = sainte_lague(held, k, [MAX_REPEAT * -(-n // block) for n in held])
+        dealt = sainte_lague(held, k, [MAX_REPEAT * n // block for n in held])
         out += [(s, x, n, size, float(target), b) for x, n, b in zip(shards, held, dealt, strict=True)]
     return spark.createDataFrame(out, "source string, shard int, shard_size long, source_size long, target double, blocks long")
 
 
-def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each row of docs
-    (doc_id, text, source)."""
-    spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
-    from .common import stage
+def _sized(docs: DataFrame, row, seed: int) -> DataFrame:
+    """row (a struct), source, size and the seeded order h of each row of docs."""
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+
 
-    sized = stage(sized, "sizes")
-    total = sized.agg(F.sum("size")).first()[0] or 0
+def _taken(docs: DataFrame, row, seed: int, block_words: int, shard_words: int) -> DataFrame:
+    """row, source, size, source_size, target, taken of each row of docs."""
+    small = stage(_sized(docs, F.struct(F.lit(0).alias("none")), seed).drop("row", "doc_id"), "sizes")
+    total = small.agg(F.sum("size")).first()[0] or 0
     shards = int(min(MAX_SHARDS, max(8, -(-total // shard_words))))
     block = max(1, min(block_words, total // 10_000))
-    sized = sized.withColumn("shard", F.pmod(F.shiftright("h", 20), F.lit(shards)).cast("int"))
-    plan = quotas(sized, block)
+    shard = F.pmod(F.shiftright("h", 20), F.lit(shards)).cast("int").alias("shard")
+    plan = quotas(small.select("*", shard), block)
     # One row per source and shard, at most MAX_SHARDS a source: what each of them gives.
     # Null sources get a key of their own, so that join and window share one partitioning.
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("key")
-    d = sized.select("*", key).join(plan.select(key, "shard", "shard_size", "source_size", "target", "blocks"), ["key", "shard"])
+    d = _sized(docs, row, seed).select("*", key, shard).join(plan.select(key, "shard", "shard_size", "source_size", "target", "blocks"), ["key", "shard"])
     line = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size")
     d = d.withColumn("upto", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    # The shard's line of words in whole blocks, the last one maybe short.
-    d = d.withColumn("per_pass", F.expr(f"(shard_size + {block - 1}) div {block}"))
-    d = d.withColumn("passes", F.expr("coalesce(blocks div nullif(per_pass, 0), 0)"))
-    d = d.withColumn("rest", F.col("blocks") - F.col("passes") * F.col("per_pass"))
-    # Seeded choice of `rest` of the pass's blocks: those from a seeded first block on, round the line.
-    # Documents stand in a seeded order on it, so neighbouring blocks are a random choice of the shard.
-    first = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.expr("nullif(per_pass, 0)")), F.lit(0))
-    a, b = first * block, (first + F.col("rest")) * block
-    whole = F.col("per_pass") * block
+    # The blocks' words are whole passes over the shard's line, then an arc of it from a seeded block on.
+    # Documents stand in a seeded order on the line, so neighbouring blocks are a random choice of the shard.
+    words = F.col("blocks") * block
+    d = d.withColumn("passes", F.coalesce(F.floor(words / F.expr("nullif(shard_size, 0)")), F.lit(0)).cast("long"))
+    d = d.withColumn("rest", F.when(F.col("shard_size") > 0, words - F.col("passes") * F.col("shard_size")).otherwise(0))
+    first = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.expr(f"nullif((shard_size + {block - 1}) div {block}, 0)")), F.lit(0))
+    a, whole = first * block, F.col("shard_size")
+    b = a + F.col("rest")
 
     def common(lo, hi):
         return F.greatest(F.lit(0), F.least(F.col("upto"), hi) - F.greatest(F.col("upto") - F.col("size"), lo))
 
     taken = F.col("passes") * F.col("size") + common(a, F.least(b, whole)) + F.when(b > whole, common(F.lit(0), b - whole)).otherwise(0)
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return d.select("row", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for each row of docs
+    (doc_id, text, source)."""
+    taken = _taken(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id")), seed, block_words, shard_words)
+    return taken.select("row.doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def first_words(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    end = 0
+    for _, m in zip(range(n), _WORD.finditer(text), strict=False):
+        end = m.end()
+    return text[:end]
+
+
+def mixed_documents(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The mix itself, with the columns of docs: each row as often as it is taken whole,
+    and once more, cut after the words that are left to take, where it is taken in part."""
+    taken = _taken(docs, F.struct("*"), seed, block_words, shard_words).where("taken > 0")
+    copies = taken.select("row", F.explode(F.expr("transform(sequence(0, (taken - 1) div size), i -> least(size, taken - i * size))")).alias("words"), "size")
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    names, at = docs.columns, docs.columns.index("text")
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(batch.columns)
+            words = cols.pop().to_pylist()
+            texts = [first_words(t, int(n)) if n else t for t, n in zip(cols[at].to_pylist(), words, strict=True)]
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                cols[k] = pa.array([len(t) if n else old for t, n, old in zip(texts, words, cols[k].to_pylist(), strict=True)], cols[k].type)
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return copies.select(*columns, F.when(F.col("words") < F.col("size"), F.col("words")).alias("__cut")).mapInArrow(shorten, docs.schema)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, html, mixing, pieces, repetition, secrets, tokens, weaklabels
+from . import chunks, debruijn, html, mixing, pieces, repetition, secrets, shingles, tokens, weaklabels
 from .common import table
 
 
@@ -18,6 +18,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -52,7 +60,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_repetition, op3_source_mixing, op5_token_counts, op6_quality_classifier, op7_piece_codec, op8_media_chunks, op9_page_differencing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_repetition, op3_source_mixing, op4_debruijn_dedup, op5_token_counts, op6_quality_classifier, op7_piece_codec, op8_media_chunks, op9_page_differencing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
