@@ -149,7 +149,7 @@ def _taken(docs: DataFrame, row, seed: int, block_words: int, shard_words: int)
     # The blocks' words are whole passes over the shard's line, then an arc of it from a seeded block on.
     # Documents stand in a seeded order on the line, so neighbouring blocks are a random choice of the shard.
     words = F.col("blocks") * block
-    d = d.withColumn("passes", F.coalesce(F.floor(words / F.expr("nullif(shard_size, 0)")), F.lit(0)).cast("long"))
+    d = d.withColumn("passes", F.expr(f"coalesce((blocks * {block}) div nullif(shard_size, 0), 0)"))
     d = d.withColumn("rest", F.when(F.col("shard_size") > 0, words - F.col("passes") * F.col("shard_size")).otherwise(0))
     first = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.expr(f"nullif((shard_size + {block - 1}) div {block}, 0)")), F.lit(0))
     a, whole = first * block, F.col("shard_size")
