@@ -16,8 +16,8 @@ On a cluster the lists are split over the short and the long side as follows.
    built: each class is posted under its n - T + 1 first shingles. (Order affects
    speed alone: any order gives the same links, as partners share T shingles.)
 3. A task takes a range of hashes, so it has whole short lists. It first links each
-   member of a list to its first member and to the member before it, by size: a chain
-   and a star, never all pairs. Candidates are searched exactly (4.); connected
+   member of a list to the list's hub and to the member before it, by size: a star and
+   a chain, never all pairs. Candidates are searched exactly (4.); connected
    components of the links collapse large groups of near copies.
 4. A candidate search takes a query class with its candidates: candidates' sets make
    inverted lists over the query's shingles; the short lists are merged with a heap,
@@ -138,7 +138,18 @@ def levels_of(first: DataFrame) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- 2. short sides
-_SHORT = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("short", T.BinaryType())])
+def bit_of(h: np.ndarray) -> np.ndarray:
+    """One of 64 bits for each hash; a set's parity is the exclusive or of its bits.
+    The parities of two sets differ in at most as many bits as the sets do in members."""
+    return np.uint64(1) << (h >> np.uint64(58))
+
+
+def rest_parity(parity: int, short: np.ndarray) -> np.ndarray:
+    """For each place of a short side, the parity of what comes after it in the whole set."""
+    return np.int64(parity).view(np.uint64) ^ np.bitwise_xor.accumulate(bit_of(short))
+
+
+_SHORT = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("parity", T.LongType()), T.StructField("short", T.BinaryType())])
 
 
 def _short_sides(levels, k: int, percent: int):
@@ -158,28 +169,29 @@ def _short_sides(levels, k: int, percent: int):
                 if len(done) > 500_000:
                     done.clear()
                 order = np.argsort(level[(s & mask).astype(np.int64)], kind="stable")
-                rows.append((digest, len(s), s[order[: len(s) - needed(len(s), percent) + 1]].tobytes()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], _SHORT.names)
+                rows.append((digest, len(s), int(np.bitwise_xor.reduce(bit_of(s)).view(np.int64)), s[order[: len(s) - needed(len(s), percent) + 1]].tobytes()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int64(), pa.binary()), strict=True)], _SHORT.names)
 
     return run
 
 
 # ---------------------------------------------------------------- 3. and 5. lists
-_POSTED = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("hashes", "owner", "place", "classes", "sizes", "groups"))])
+_POSTED = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("hashes", "owner", "place", "classes", "sizes", "groups", "rests"))])
 
 
-def _post(buckets: int):
-    """Short sides (class, n, grp, short) as packed postings by hash range."""
+def _post(buckets: int, with_rest: bool):
+    """Short sides (class, n, grp, parity, short) as packed postings by hash range;
+    with_rest: each with the parity of the rest of its set."""
 
-    def pack(h, owner, place, classes, sizes, groups):
+    def pack(h, owner, place, classes, sizes, groups, rests):
         order = np.argsort(h)
         h, owner, place = h[order], owner[order], place[order]
         edges = cuts(bucket_of(h, buckets))
         rows = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             used, local = np.unique(owner[a:b], return_inverse=True)
-            rows.append((int(bucket_of(h[a : a + 1], buckets)[0]), squeeze_sorted(h[a:b]), squeeze(local.astype(np.uint32)), squeeze(place[a:b].astype(np.uint32)), squeeze(classes[used]), squeeze(sizes[used]), squeeze(groups[used])))
+            rows.append((int(bucket_of(h[a : a + 1], buckets)[0]), squeeze_sorted(h[a:b]), squeeze(local.astype(np.uint32)), squeeze(place[a:b].astype(np.uint32)), squeeze(classes[used]), squeeze(sizes[used]), squeeze(groups[used]), squeeze(rests[order[a:b]]) if with_rest else None))
         cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], _POSTED.names)
 
@@ -188,14 +200,15 @@ def _post(buckets: int):
         size = 0
 
         def out():
-            lengths = [len(s) for *_, s in held]
-            h = np.concatenate([s for *_, s in held])
-            return pack(h, np.repeat(np.arange(len(held)), lengths), np.concatenate([np.arange(n) for n in lengths]), np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int32), np.array([x[2] for x in held], np.int64))
+            lengths = [len(x[3]) for x in held]
+            h = np.concatenate([x[3] for x in held])
+            rests = np.concatenate([rest_parity(x[4], x[3]) for x in held]) if with_rest else None
+            return pack(h, np.repeat(np.arange(len(held)), lengths), np.concatenate([np.arange(n) for n in lengths]), np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int32), np.array([x[2] for x in held], np.int64), rests)
 
         for batch in batches:
-            for c, n, g, short in zip(*(batch.column(x).to_pylist() for x in ("class", "n", "grp", "short")), strict=True):
+            for c, n, g, parity, short in zip(*(batch.column(x).to_pylist() for x in ("class", "n", "grp", "parity", "short")), strict=True):
                 s = np.frombuffer(short, np.uint64)
-                held.append((c, n, g, s))
+                held.append((c, n, g, s, parity))
                 size += len(s)
                 if size > 3_000_000:
                     yield out()
@@ -208,7 +221,7 @@ def _post(buckets: int):
 
 def _lists(parts: Iterator[pa.RecordBatch]):
     """A bucket's postings, sorted by hash, then size, then class, and the lists' edges."""
-    cols: list[list] = [[], [], [], [], []]
+    cols: list[list] = [[], [], [], [], [], []]
     for part in parts:
         for row in zip(*(part.column(c).to_pylist() for c in _POSTED.names[1:]), strict=True):
             owner = unsqueeze(row[1], np.uint32)
@@ -217,15 +230,16 @@ def _lists(parts: Iterator[pa.RecordBatch]):
             cols[2].append(unsqueeze(row[4], np.int32)[owner])
             cols[3].append(unsqueeze(row[5], np.int64)[owner])
             cols[4].append(unsqueeze(row[2], np.uint32))
-    h, c, n, g, p = (np.concatenate(x) for x in cols)
+            cols[5].append(unsqueeze(row[6], np.uint64) if row[6] else np.zeros(len(owner), np.uint64))
+    h, c, n, g, p, r = (np.concatenate(x) for x in cols)
     # lists of one document have no candidates
     order = np.argsort(h, kind="stable")
     edges = cuts(h[order])
     keep = order[np.repeat(np.diff(edges) > 1, np.diff(edges))]
-    h, c, n, g, p = h[keep], c[keep], n[keep], g[keep], p[keep]
+    h, c, n, g, p, r = h[keep], c[keep], n[keep], g[keep], p[keep], r[keep]
     order = np.lexsort((c, n, h))
-    h, c, n, g, p = h[order], c[order], n[order], g[order], p[order]
-    return cuts(h), c, n.astype(np.int64), g, p.astype(np.int64)
+    h, c, n, g, p, r = h[order], c[order], n[order], g[order], p[order], r[order]
+    return cuts(h), c, n.astype(np.int64), g, p.astype(np.int64), r
 
 
 _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -249,20 +263,34 @@ def _may_link(na, nb, pa_, pb, percent: int):
     return (100 * na >= percent * nb) & (np.minimum(pa_, pb) + 1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= least)
 
 
+def _rests_may_link(na, nb, pa_, pb, ra, rb, percent: int):
+    """If this is the first common shingle, what comes after it in both sets differs in
+    at least as many members as the parities do in bits."""
+    rest = (na - pa_ - 1) + (nb - pb - 1) - np.bitwise_count(ra ^ rb).astype(np.int64)
+    return 1 + rest // 2 >= overlap_needed(na, nb, percent)
+
+
 def _chain_and_star(percent: int):
+    """Each member of a list with the one before it, by size, and with the list's hub:
+    the member that has the shingle at the least place of its short side. The fewer rare
+    shingles a document has of its own, the lower its places; in a group of copies that
+    were each changed a little the hub is the text nearest to the original."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in runs_of(batches, "bucket"):
-            edges, c, n, _, _ = _lists(parts)
+            edges, c, n, _, p, _ = _lists(parts)
             if len(edges) < 2:
                 continue
             lengths = np.diff(edges)
-            first = np.repeat(edges[:-1], lengths)
+            number = np.repeat(np.arange(len(lengths)), lengths)
+            hub = np.repeat(np.lexsort((c, p, number))[edges[:-1]], lengths)
             at = np.arange(len(c))
-            later = at > first
-            x = np.concatenate((at[later] - 1, first[later]))
-            y = np.concatenate((at[later], at[later]))
-            ok = 100 * n[x] >= percent * n[y]
-            yield from _emit(_pairs(c[x[ok]], c[y[ok]]))
+            later = at > edges[:-1][number]
+            x = np.concatenate((at[later] - 1, hub))
+            y = np.concatenate((at[later], at))
+            less, more = np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x)
+            ok = _may_link(n[less], n[more], p[less], p[more], percent) & (c[less] != c[more])
+            yield from _emit(_pairs(c[less[ok]], c[more[ok]]))
 
     return run
 
@@ -273,7 +301,7 @@ def _across(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in runs_of(batches, "bucket"):
-            edges, c, n, g, p = _lists(parts)
+            edges, c, n, g, p, r = _lists(parts)
             found: list[np.ndarray] = []
             held = 0
             if len(edges) > 1:
@@ -289,6 +317,7 @@ def _across(percent: int):
                     at = at[100 * n[at] >= percent * n[np.minimum(at + step, len(n) - 1)]]
                     y = at + step
                     ok = (g[at] != g[y]) & _may_link(n[at], n[y], p[at], p[y], percent)
+                    ok[ok] = _rests_may_link(n[at[ok]], n[y[ok]], p[at[ok]], p[y[ok]], r[at[ok]], r[y[ok]], percent)
                     if ok.any():
                         found.append(_pairs(c[at[ok]], c[y[ok]]))
                         held += len(found[-1])
@@ -472,19 +501,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     # classes of equal sets, named by their least doc_id
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class"))
-    short = docs.select("text").mapInArrow(_short_sides(levels, words, percent), _SHORT).groupBy("digest").agg(F.first("n").alias("n"), F.first("short").alias("short"))
-    short = stage(short.join(classes.where("class is not null"), "digest").select("class", "n", "short"), "short")
+    short = docs.select("text").mapInArrow(_short_sides(levels, words, percent), _SHORT).groupBy("digest").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("short").alias("short"))
+    short = stage(short.join(classes.where("class is not null"), "digest").select("class", "n", "parity", "short"), "short")
 
     buckets = buckets_for(docs)
 
-    def lists(sides: DataFrame) -> DataFrame:
-        return sides.mapInArrow(_post(buckets), _POSTED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    def lists(sides: DataFrame, with_rest: bool) -> DataFrame:
+        return sides.mapInArrow(_post(buckets, with_rest), _POSTED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     texts = _Texts(docs, words)
-    near = exact_links(lists(short.withColumn("grp", F.col("class"))).mapInArrow(_chain_and_star(percent), _PAIRS), texts, percent, "near")
+    near = exact_links(lists(short.withColumn("grp", F.col("class")), False).mapInArrow(_chain_and_star(percent), _PAIRS), texts, percent, "near")
     groups = stage(components(spark, near), "groups")
-    grouped = short.join(groups.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "short", F.coalesce("component", "class").alias("grp"))
-    far = exact_links(lists(grouped).mapInArrow(_across(percent), _PAIRS), texts, percent, "far")
+    grouped = short.join(groups.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "parity", "short", F.coalesce("component", "class").alias("grp"))
+    far = exact_links(lists(grouped, True).mapInArrow(_across(percent), _PAIRS), texts, percent, "far")
     joined = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)
     final = components(spark, joined).withColumnRenamed("node", "class")
 
