@@ -1,0 +1 @@
+"""Streaming: there is nothing of the kind to rebuild; Structured Streaming is used as it is."""
