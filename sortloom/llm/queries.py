@@ -63,7 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_repetition, op3_source_mixing, op4_debruijn_dedup, op5_token_counts, op6_quality_classifier, op7_piece_codec, op8_media_chunks, op9_page_differencing, op10_secret_scan)}
 
 
-_WORDS = r"SELECT doc_id, list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents"
+_WORDS = r"SELECT doc_id, list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _OP1 = f"""WITH RECURSIVE w AS ({_WORDS.format(text=f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')")}),
@@ -79,7 +79,7 @@ _OP4 = f"""WITH w AS ({_WORDS.format(text="coalesce(text, '')")}),
 p AS (SELECT doc_id, i, array_to_string(words[i + 1:i + 13], ' ') AS win FROM (SELECT doc_id, words, unnest(range(len(words) - 12)) AS i FROM w WHERE len(words) >= 13)),
 f AS (SELECT win, min(doc_id) AS first FROM p GROUP BY win),
 g AS (SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT p.doc_id, unnest(range(i + 1, i + 14)) AS k FROM p JOIN f USING (win) WHERE first < p.doc_id) GROUP BY doc_id)
-SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(array_to_string(list_filter(words, (x, i) -> gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id)"""
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(array_to_string(list_filter(words, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
