@@ -130,6 +130,7 @@ def runs_of(batches: Iterator, key: str) -> Iterator[tuple[object, Iterator]]:
     """Groups of record batches sorted by key: (key, rows of that key as batches),
     each to be used up before the next."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     queue: list[pa.RecordBatch] = []
     source = iter(batches)
@@ -149,8 +150,9 @@ def runs_of(batches: Iterator, key: str) -> Iterator[tuple[object, Iterator]]:
         def rows(value=value):
             while pull():
                 batch = queue.pop(0)
-                keys = batch.column(key).to_numpy(zero_copy_only=False)
-                other = np.flatnonzero(keys != value)
+                # in Arrow: NumPy would compare byte strings without their last zero bytes
+                differs = pc.not_equal(batch.column(key), pa.scalar(value, batch.column(key).type))
+                other = np.flatnonzero(differs.to_numpy(zero_copy_only=False))
                 if len(other):
                     queue.append(batch.slice(int(other[0])))
                     if other[0]:
