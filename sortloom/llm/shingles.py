@@ -17,7 +17,9 @@ On a cluster the lists are split over the short and the long side as follows.
    speed alone: any order gives the same links, as partners share T shingles.)
 3. A task takes a range of hashes, so it has whole short lists. It first links each
    member of a list to the list's hub and to the member before it, by size: a star and
-   a chain, never all pairs. Candidates are searched exactly (4.); connected
+   a chain, never all pairs. Pairs have to pass exact bounds: a length filter, a
+   positional filter and one on the parities of the rests of the sets. Candidates are
+   searched exactly (4.); connected
    components of the links collapse large groups of near copies.
 4. A candidate search takes a query class with its candidates: candidates' sets make
    inverted lists over the query's shingles; the short lists are merged with a heap,
@@ -180,9 +182,9 @@ def _short_sides(levels, k: int, percent: int):
 _POSTED = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("hashes", "owner", "place", "classes", "sizes", "groups", "rests"))])
 
 
-def _post(buckets: int, with_rest: bool):
-    """Short sides (class, n, grp, parity, short) as packed postings by hash range;
-    with_rest: each with the parity of the rest of its set."""
+def _post(buckets: int):
+    """Short sides (class, n, grp, parity, short) as packed postings by hash range, each
+    with the parity of the rest of its set."""
 
     def pack(h, owner, place, classes, sizes, groups, rests):
         order = np.argsort(h)
@@ -191,7 +193,7 @@ def _post(buckets: int, with_rest: bool):
         rows = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             used, local = np.unique(owner[a:b], return_inverse=True)
-            rows.append((int(bucket_of(h[a : a + 1], buckets)[0]), squeeze_sorted(h[a:b]), squeeze(local.astype(np.uint32)), squeeze(place[a:b].astype(np.uint32)), squeeze(classes[used]), squeeze(sizes[used]), squeeze(groups[used]), squeeze(rests[order[a:b]]) if with_rest else None))
+            rows.append((int(bucket_of(h[a : a + 1], buckets)[0]), squeeze_sorted(h[a:b]), squeeze(local.astype(np.uint32)), squeeze(place[a:b].astype(np.uint32)), squeeze(classes[used]), squeeze(sizes[used]), squeeze(groups[used]), squeeze(rests[order[a:b]])))
         cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], _POSTED.names)
 
@@ -202,7 +204,7 @@ def _post(buckets: int, with_rest: bool):
         def out():
             lengths = [len(x[3]) for x in held]
             h = np.concatenate([x[3] for x in held])
-            rests = np.concatenate([rest_parity(x[4], x[3]) for x in held]) if with_rest else None
+            rests = np.concatenate([rest_parity(x[4], x[3]) for x in held])
             return pack(h, np.repeat(np.arange(len(held)), lengths), np.concatenate([np.arange(n) for n in lengths]), np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int32), np.array([x[2] for x in held], np.int64), rests)
 
         for batch in batches:
@@ -230,7 +232,7 @@ def _lists(parts: Iterator[pa.RecordBatch]):
             cols[2].append(unsqueeze(row[4], np.int32)[owner])
             cols[3].append(unsqueeze(row[5], np.int64)[owner])
             cols[4].append(unsqueeze(row[2], np.uint32))
-            cols[5].append(unsqueeze(row[6], np.uint64) if row[6] else np.zeros(len(owner), np.uint64))
+            cols[5].append(unsqueeze(row[6], np.uint64))
     h, c, n, g, p, r = (np.concatenate(x) for x in cols)
     # lists of one document have no candidates
     order = np.argsort(h, kind="stable")
@@ -278,7 +280,7 @@ def _chain_and_star(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in runs_of(batches, "bucket"):
-            edges, c, n, _, p, _ = _lists(parts)
+            edges, c, n, _, p, r = _lists(parts)
             if len(edges) < 2:
                 continue
             lengths = np.diff(edges)
@@ -290,6 +292,7 @@ def _chain_and_star(percent: int):
             y = np.concatenate((at[later], at))
             less, more = np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x)
             ok = _may_link(n[less], n[more], p[less], p[more], percent) & (c[less] != c[more])
+            ok[ok] = _rests_may_link(n[less[ok]], n[more[ok]], p[less[ok]], p[more[ok]], r[less[ok]], r[more[ok]], percent)
             yield from _emit(_pairs(c[less[ok]], c[more[ok]]))
 
     return run
@@ -506,14 +509,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     buckets = buckets_for(docs)
 
-    def lists(sides: DataFrame, with_rest: bool) -> DataFrame:
-        return sides.mapInArrow(_post(buckets, with_rest), _POSTED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    def lists(sides: DataFrame) -> DataFrame:
+        return sides.mapInArrow(_post(buckets), _POSTED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     texts = _Texts(docs, words)
-    near = exact_links(lists(short.withColumn("grp", F.col("class")), False).mapInArrow(_chain_and_star(percent), _PAIRS), texts, percent, "near")
+    near = exact_links(lists(short.withColumn("grp", F.col("class"))).mapInArrow(_chain_and_star(percent), _PAIRS), texts, percent, "near")
     groups = stage(components(spark, near), "groups")
     grouped = short.join(groups.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "parity", "short", F.coalesce("component", "class").alias("grp"))
-    far = exact_links(lists(grouped, True).mapInArrow(_across(percent), _PAIRS), texts, percent, "far")
+    far = exact_links(lists(grouped).mapInArrow(_across(percent), _PAIRS), texts, percent, "far")
     joined = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)
     final = components(spark, joined).withColumnRenamed("node", "class")
 
