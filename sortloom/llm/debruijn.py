@@ -13,8 +13,15 @@ match, in order, at consecutive places of one source. A lone edge rests on one 6
 hash of 13 words.
 
 Edges travel packed, sorted by hash, as differences; no table of all edges with a row
-each ever exists. A document's removed words depend on the input alone, not on what is
-left of other documents.
+each ever exists. Before they travel, each task settles what it can: of an edge that
+starts in several of its documents, only the starts in the least doc_id go to the edge's
+hash range; the others have a source already, and go on to their documents. So an edge
+that a third of all documents hold brings a hash range one document for each block of
+``BLOCK_EDGES`` edges, not one for each document.
+
+A document's removed words depend on the input alone, not on what is left of other
+documents nor on how rows are dealt. Which of several sources a span names, and so
+n_spans and longest_span, may depend on how rows are dealt to tasks.
 
 Edge cases: a null text has no words; texts shorter than a window lose nothing; rows
 that repeat a doc_id, with any texts, are never smaller than each other; rows without a
@@ -36,13 +43,44 @@ from pyspark.sql import types as T
 from .common import WordHashes, bucket_of, cuts, gram_hashes, runs_of, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, utf8
 
 WINDOW = 13
+#: Edges that a task holds before it packs them.
+BLOCK_EDGES = 3_000_000
 _EDGES = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("hashes", "owner", "place", "ids", "crcs", "homes"))])
 #: A start of an edge in a document, and the edge's source.
 _START = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("source", "<i8"), ("source_at", "<u4")])
 
 
-def _edges(k: int, buckets: int):
-    """Packed edges of documents (doc_id, text, home), by hash range."""
+def _by_home(home: np.ndarray, **columns: np.ndarray) -> list[tuple[int, bytes]]:
+    """Starts packed by home, in order of document and place."""
+    starts = np.empty(len(home), _START)
+    for name, values in columns.items():
+        starts[name] = values
+    order = np.lexsort((starts["at"], starts["doc"], home))
+    starts, home = starts[order], home[order]
+    edges = cuts(home)
+    return [(int(home[a]), squeeze(starts[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def settle(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of edges in order of hash: which starts have the same edge in a lesser document
+    here, the least such document, and the edge's first place there."""
+    edges = cuts(h)
+    lengths = np.diff(edges)
+    some = np.flatnonzero(np.repeat(lengths > 1, lengths))
+    if not len(some):
+        return some, some, some
+    doc, at = doc[some], at[some]
+    lengths = lengths[lengths > 1]
+    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    least = np.repeat(np.minimum.reduceat(doc, first), lengths)
+    place = np.minimum.reduceat(np.where(doc == least, at, np.iinfo(np.int64).max), first)
+    gone = np.flatnonzero(doc > least)
+    return some[gone], least[gone], np.repeat(place, lengths)[gone]
+
+
+def _edges(k: int, buckets: int, block: int):
+    """Packed edges of documents (doc_id, text, home), by hash range; and packed starts
+    that this task has a source for, under their home (owner null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -56,8 +94,13 @@ def _edges(k: int, buckets: int):
             ids, crcs, homes = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.uint32), np.array([x[2] for x in held], np.int32)
             order = np.argsort(h)
             h, owner, place = h[order], owner[order], place[order]
+            doc = ids[owner]
+            gone, source, source_at = settle(h, doc, place)
+            rows = [(home, data, *[None] * 5) for home, data in _by_home(homes[owner[gone]], doc=doc[gone], crc=crcs[owner[gone]], at=place[gone], source=source, source_at=source_at)] if len(gone) else []
+            stay = np.ones(len(h), bool)
+            stay[gone] = False
+            h, owner, place = h[stay], owner[stay], place[stay]
             edges = cuts(bucket_of(h, buckets))
-            rows = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 used, local = np.unique(owner[a:b], return_inverse=True)
                 rows.append((int(bucket_of(h[a : a + 1], buckets)[0]), squeeze_sorted(h[a:b]), squeeze(local.astype(np.uint32)), squeeze(place[a:b].astype(np.uint32)), squeeze(ids[used]), squeeze(crcs[used]), squeeze(homes[used])))
@@ -72,7 +115,7 @@ def _edges(k: int, buckets: int):
                 h = gram_hashes(hashes.of(words), k)
                 held.append((doc, zlib.crc32(text), home, h))
                 size += len(h)
-                if size > 3_000_000:
+                if size > block:
                     yield out()
                     held, size = [], 0
         if held:
@@ -85,18 +128,32 @@ def _edges(k: int, buckets: int):
 _HOME = T.StructType([T.StructField("home", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("data", T.BinaryType())])
 
 
+def _home_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n).cast(pa.int64()), pa.array([r[1] for r in rows], pa.binary())], _HOME.names)
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each hash range, the starts of edges that have a source in another document."""
+    """Of each hash range, the starts of edges that have a source in another document;
+    starts that are settled already pass through."""
     for _, parts in runs_of(batches, "bucket"):
         cols: list[list] = [[], [], [], [], []]
         for part in parts:
-            for row in zip(*(part.column(c).to_pylist() for c in _EDGES.names[1:]), strict=True):
+            settled = []
+            for bucket, *row in zip(*(part.column(c).to_pylist() for c in _EDGES.names), strict=True):
+                if row[1] is None:
+                    settled.append((bucket, row[0]))
+                    continue
                 owner = unsqueeze(row[1], np.uint32)
                 cols[0].append(unsqueeze_sorted(row[0]))
                 cols[1].append(unsqueeze(row[3], np.int64)[owner])
                 cols[2].append(unsqueeze(row[2], np.uint32))
                 cols[3].append(unsqueeze(row[4], np.uint32)[owner])
                 cols[4].append(unsqueeze(row[5], np.int32)[owner])
+            if settled:
+                yield _home_rows(settled)
+        if not cols[0]:
+            continue
         h, doc, at, crc, home = (np.concatenate(x) for x in cols)
         del cols
         order = np.argsort(h, kind="stable")  # merges sorted stretches
@@ -113,15 +170,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = np.flatnonzero(doc > doc[first])
         if not len(gone):
             continue
-        starts = np.empty(len(gone), _START)
-        starts["doc"], starts["crc"], starts["at"], starts["source"], starts["source_at"] = doc[gone], crc[gone], at[gone], doc[first[gone]], at[first[gone]]
-        home = home[gone]
-        order = np.lexsort((starts["at"], starts["doc"], home))
-        starts, home = starts[order], home[order]
-        edges = cuts(home)
-        rows = [(int(home[a]), squeeze(starts[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        n = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n).cast(pa.int64()), pa.array([r[1] for r in rows], pa.binary())], _HOME.names)
+        yield _home_rows(_by_home(home[gone], doc=doc[gone], crc=crc[gone], at=at[gone], source=doc[first[gone]], source_at=at[first[gone]]))
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +240,7 @@ def covered(n: int, starts: np.ndarray, k: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, k: int = WINDOW, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = WINDOW, digest: bool = False, block: int = BLOCK_EDGES) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, longest_span (words) and kept of each row of
     docs (doc_id, text): the kept words joined by one space, or their sha256."""
     spark = docs.sparkSession
@@ -210,6 +259,6 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, digest: bool = False) -> Da
         kept = b" ".join(words)
         return doc, len(words) + gone, gone, spans, longest, hashlib.sha256(kept).hexdigest() if digest else kept.decode()
 
-    edges = docs.mapInArrow(_edges(k, buckets), _EDGES).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    edges = docs.mapInArrow(_edges(k, buckets, block), _EDGES).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     home = edges.mapInArrow(_repeated, _HOME).unionByName(docs.mapInArrow(_documents, _HOME))
     return home.repartition(buckets, "home").sortWithinPartitions("home", "kind").mapInArrow(_home(describe), RESULT)

@@ -170,7 +170,8 @@ def test_op3(docs, rows, none):
     assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in got)
 
 
-def test_op4(docs, rows, none):
+@pytest.mark.parametrize("block", [60, 700, debruijn.BLOCK_EDGES])
+def test_op4(docs, rows, none, block):
     first = {}
     words = [(d, WORD.findall(t or "")) for d, t, *_ in rows]
     for d, w in words:
@@ -181,7 +182,7 @@ def test_op4(docs, rows, none):
     for d, w in words:
         gone = {i + j for i in range(len(w) - 12) if d is not None and first[tuple(w[i : i + 13])] < d for j in range(13)}
         expected.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in debruijn.remove_repeats(docs).collect()]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in debruijn.remove_repeats(docs, block=block).collect()]
     assert sorted(got, key=repr) == sorted(expected, key=repr)
     assert debruijn.remove_repeats(none).count() == 0
 
