@@ -59,6 +59,8 @@ from .common import LOWER, WordHashes, bucket_of, buckets_for, cuts, gram_hashes
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch of list lengths: a fixed 8 MB, whatever the corpus.
 SKETCH_BITS, SKETCH_SLICES = 23, 128
+#: Classes of at least one in so many rows are joined by broadcast, for the last join.
+HOT_CLASSES = 1_000
 
 
 def shingle_set(words: np.ndarray, k: int = WORDS) -> np.ndarray:
@@ -503,7 +505,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     levels = spark.sparkContext.broadcast(levels_of(first).tobytes())
 
     # classes of equal sets, named by their least doc_id
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class"))
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
     short = docs.select("text").mapInArrow(_short_sides(levels, words, percent), _SHORT).groupBy("digest").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("short").alias("short"))
     short = stage(short.join(classes.where("class is not null"), "digest").select("class", "n", "parity", "short"), "short")
 
@@ -520,8 +522,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     joined = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)
     final = components(spark, joined).withColumnRenamed("node", "class")
 
-    named = classes.join(final, "class", "left").select("digest", F.coalesce("component", "class").alias("component_id"))
-    return rows.join(named, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = stage(classes.join(final, "class", "left").select("digest", "copies", F.coalesce("component", "class").alias("component_id")), "named")
+    # a digest of at least 1 / HOT_CLASSES of the rows does not go through a shuffle:
+    # there are at most HOT_CLASSES such digests, whatever the corpus
+    often = F.col("copies") * HOT_CLASSES >= rows.count()
+    hot = F.broadcast(named.where(often).select("digest", "component_id"))
+    filled = rows.where("n > 0")
+    found = filled.join(hot, "digest").unionByName(filled.join(hot.select("digest"), "digest", "left_anti").join(named.where(~often).select("digest", "component_id"), "digest"))
+    empty = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
+    return found.unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
