@@ -89,7 +89,10 @@ def components(rows):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-def test_op1(docs, rows, none):
+# all classes joined by broadcast; only the largest; none
+@pytest.mark.parametrize("hot", [1_000, 12, 0])
+def test_op1(docs, rows, none, monkeypatch, hot):
+    monkeypatch.setattr(shingles, "HOT_CLASSES", hot)
     expected = components([(r[0], r[1]) for r in rows if r[0] is not None])
     got = shingles.near_duplicates(docs).collect()
     assert len(got) == len(rows)
