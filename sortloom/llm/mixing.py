@@ -1,16 +1,19 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 All tokens (words) of the corpus are dealt in equal blocks. Each source's target share
-decides how many blocks it gives, by highest quotients of target over odd numbers, and
-each source's blocks are dealt to its shards in the same way, weighted by the shards'
-sizes. Within a shard, blocks are chosen by a seeded order; what a document gives is
-what its words have in common with chosen blocks, whole passes first where a shard
-gives more than it holds. No block is chosen twice in a pass and no shard gives more
+decides how many blocks it gives, by highest quotients of target over odd numbers; a
+source whose target is ``MAX_REPEAT`` times its size gives just that. A source gives whole
+passes first, and the blocks of what is left are dealt to its shards in the same way,
+weighted by the shards' sizes. The last block of a source or shard may be short, and what
+finds no room in one shard goes to others, so no words are lost to rounding. Within a
+shard, blocks are chosen by a seeded order; what a document gives is what its words have
+in common with chosen blocks. No block is chosen twice in a pass and no source gives more
 than ``MAX_REPEAT`` passes, so no document exceeds ``MAX_REPEAT`` times its size.
 
 Only two small tables meet at the driver: one row per source, and per source and shard
-their sizes (shards per source are bounded by ``MAX_SHARDS``). Everything on documents
-is plain DataFrame code; a source holding a third of all rows is split over its shards.
+their sizes (a source's shards follow from its own size, up to ``MAX_SHARDS``). Everything
+on documents is plain DataFrame code; a source holding a third of all rows is split over
+its shards.
 
 Edge cases: a null or empty text has size 0 and gives 0; a null source is a source of
 its own, the last; repeated rows are one after another in their shard's order; an empty
@@ -33,6 +36,8 @@ from .common import stage
 SEED, BLOCK_WORDS, MAX_REPEAT, MAX_SHARDS = 17, 64, 3, 4096
 #: Words that a shard holds about: what one task orders at once.
 SHARD_WORDS = 2_000_000
+#: Shards of a source that is smaller, if each then holds so many blocks.
+FEW_SHARDS, FEW_BLOCKS = 8, 1_000
 WEIGHTS = (5, 2, 1)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -106,8 +111,32 @@ def word_count(text: str = "text"):
     return F.coalesce(F.expr(f"regexp_count({text}, '[^\\\\x20\\\\x09-\\\\x0D]+')"), F.lit(0)).cast("bigint")
 
 
+def deal(votes: Sequence[Fraction | int], words: int, block: int, room: Sequence[int]) -> list[int]:
+    """Words by Sainte-Laguë seats of a block each, none above its room in words. The last
+    block may be short; what finds no room is dealt again to those that have some."""
+    given = [0] * len(votes)
+    words = min(words, sum(r for v, r in zip(votes, room, strict=True) if v > 0))
+    while words > 0:
+        left = [r - g if v > 0 else 0 for v, r, g in zip(votes, room, given, strict=True)]
+        seats = sainte_lague(votes, -(-words // block), [-(-r // block) for r in left])
+        for i, k in enumerate(seats):
+            more = min(k * block, left[i], words)
+            given[i] += more
+            words -= more
+    return given
+
+
+def shards_of(size: int, shard_words: int, block: int) -> int:
+    """Shards of a source, by its own size."""
+    return int(min(MAX_SHARDS, max(1, -(-size // shard_words), min(FEW_SHARDS, size // (FEW_BLOCKS * block)))))
+
+
+def block_of(total: int, block_words: int) -> int:
+    return max(1, min(block_words, total // 10_000))
+
+
 def quotas(sized: DataFrame, block: int) -> DataFrame:
-    """One row per source and shard: source, shard, shard_size, source_size, target, blocks."""
+    """One row per source and shard: source, shard, shard_size, source_size, target, words."""
     spark = sized.sparkSession
     rows = sized.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()
     by: dict[str | None, dict[int, int]] = {}
@@ -116,15 +145,20 @@ def quotas(sized: DataFrame, block: int) -> DataFrame:
     names = sorted((s for s in by if s is not None), key=lambda s: s.encode("utf-8")) + [None] * (None in by)
     sizes = [sum(by[s].values()) for s in names]
     targets = waterfill(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))])
-    seats = round(Fraction(sum(targets), block)) if names else 0
-    blocks = sainte_lague(targets, seats, [MAX_REPEAT * s // block for s in sizes])
+    # a source at its limit gives all of it; the others share the rest, in blocks that are small beside each target
+    most = [MAX_REPEAT * s for s in sizes]
+    votes = [t if t < m else 0 for t, m in zip(targets, most, strict=True)]
+    full = [0 if v else m for v, m in zip(votes, most, strict=True)]
+    fine = max(1, min([block, *(int(v) // 100 for v in votes if v)]))
+    shared = deal(votes, sum(sizes) - sum(full), fine, most)
     out = []
-    for s, size, target, k in zip(names, sizes, targets, blocks, strict=True):
+    for s, size, target, a, b in zip(names, sizes, targets, full, shared, strict=True):
         shards = sorted(by[s])
         held = [by[s][x] for x in shards]
-        dealt = sainte_lague(held, k, [MAX_REPEAT * n // block for n in held])
-        out += [(s, x, n, size, float(target), b) for x, n, b in zip(shards, held, dealt, strict=True)]
-    return spark.createDataFrame(out, "source string, shard int, shard_size long, source_size long, target double, blocks long")
+        passes, rest = divmod(a + b, size) if size else (0, 0)
+        dealt = deal(held, rest, block, held)
+        out += [(s, x, n, size, float(target), passes * n + w) for x, n, w in zip(shards, held, dealt, strict=True)]
+    return spark.createDataFrame(out, "source string, shard int, shard_size long, source_size long, target double, words long")
 
 
 def _sized(docs: DataFrame, row, seed: int) -> DataFrame:
@@ -135,22 +169,27 @@ def _sized(docs: DataFrame, row, seed: int) -> DataFrame:
 def _taken(docs: DataFrame, row, seed: int, block_words: int, shard_words: int) -> DataFrame:
     """row, source, size, source_size, target, taken of each row of docs."""
     small = stage(_sized(docs, F.struct(F.lit(0).alias("none")), seed).drop("row", "doc_id"), "sizes")
-    total = small.agg(F.sum("size")).first()[0] or 0
-    shards = int(min(MAX_SHARDS, max(8, -(-total // shard_words))))
-    block = max(1, min(block_words, total // 10_000))
-    shard = F.pmod(F.shiftright("h", 20), F.lit(shards)).cast("int").alias("shard")
-    plan = quotas(small.select("*", shard), block)
+    sizes = small.groupBy("source").agg(F.sum("size").alias("n")).collect()
+    block = block_of(sum(r.n for r in sizes), block_words)
+    # Sources of several shards, one row each: at most the corpus's words over FEW_BLOCKS blocks.
+    several = [("null" if r.source is None else "=" + r.source, k) for r in sizes if (k := shards_of(r.n, shard_words, block)) > 1]
+    several = F.broadcast(docs.sparkSession.createDataFrame(several, "key string, shards int"))
+
+    def sharded(d: DataFrame) -> DataFrame:
+        # Null sources get a key of their own, so that joins and window share one partitioning.
+        d = d.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).join(several, "key", "left")
+        return d.withColumn("shard", F.pmod(F.shiftright("h", 20), F.coalesce("shards", F.lit(1))).cast("int")).drop("shards")
+
+    plan = quotas(sharded(small), block)
     # One row per source and shard, at most MAX_SHARDS a source: what each of them gives.
-    # Null sources get a key of their own, so that join and window share one partitioning.
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("key")
-    d = _sized(docs, row, seed).select("*", key, shard).join(plan.select(key, "shard", "shard_size", "source_size", "target", "blocks"), ["key", "shard"])
+    d = sharded(_sized(docs, row, seed)).join(plan.select(key, "shard", "shard_size", "source_size", "target", "words"), ["key", "shard"])
     line = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size")
     d = d.withColumn("upto", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    # The blocks' words are whole passes over the shard's line, then an arc of it from a seeded block on.
+    # The words to take are whole passes over the shard's line, then an arc of it from a seeded block on.
     # Documents stand in a seeded order on the line, so neighbouring blocks are a random choice of the shard.
-    words = F.col("blocks") * block
-    d = d.withColumn("passes", F.expr(f"coalesce((blocks * {block}) div nullif(shard_size, 0), 0)"))
-    d = d.withColumn("rest", F.when(F.col("shard_size") > 0, words - F.col("passes") * F.col("shard_size")).otherwise(0))
+    d = d.withColumn("passes", F.expr("coalesce(words div nullif(shard_size, 0), 0)"))
+    d = d.withColumn("rest", F.when(F.col("shard_size") > 0, F.col("words") - F.col("passes") * F.col("shard_size")).otherwise(0))
     first = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.expr(f"nullif((shard_size + {block - 1}) div {block}, 0)")), F.lit(0))
     a, whole = first * block, F.col("shard_size")
     b = a + F.col("rest")

@@ -173,6 +173,25 @@ def test_op3(docs, rows, none):
     assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in got)
 
 
+def test_op3_deals_all_words():
+    r = random.Random(6)
+    for _ in range(200):
+        room = [r.randrange(0, 200) for _ in range(r.randrange(1, 30))]
+        words = r.randrange(0, sum(room) + 50)
+        given = mixing.deal(room, words, 64, room)
+        assert sum(given) == min(words, sum(room)) and all(0 <= g <= m for g, m in zip(given, room, strict=True))
+
+
+def test_op3_small_sources(spark):
+    """Capped sources of short texts beside one of many shards give all they may."""
+    sizes = [("a", 20)] * 300 + [("b", 5)] * 2 + [("c", 500)] * 600
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(sizes)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, shard_words=2_000).collect()
+    assert sum(r.taken for r in got) == sum(n for _, n in sizes)
+    assert all(r.taken == 3 * r["size"] for r in got if r.source != "c")
+    assert all(r.taken <= 3 * r["size"] for r in got)
+
+
 @pytest.mark.parametrize("block", [60, 700, debruijn.BLOCK_EDGES])
 def test_op4(docs, rows, none, block):
     first = {}
