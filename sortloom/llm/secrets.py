@@ -2,7 +2,8 @@
 
 The patterns give the base spans. Beside them, each value in a credential context
 (a word such as password, then ``:`` or ``=``) is judged by the cheapest way to guess
-it: the value is segmented into dictionary words, dates, repeats, keyboard walks and
+it: the value is segmented into dictionary words (the words of two public vocabularies,
+ranked as these rank them, after a few that guessers try first), dates, repeats, keyboard walks and
 brute-force stretches, each with a cost in bits, and dynamic programming finds the
 segmentation of least cost. A value of at least ``GUESS_BITS`` bits is a secret and
 gives a span of kind ``guess``, unless a base span already covers it.
@@ -29,7 +30,8 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CONTEXT = re.compile(r"(?<![a-z])(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?)[\"']?[\x20\t]*[:=][\x20\t]*[\"']?([^\s\"']{6,})", re.I | re.A)
+# a keyword may follow letters, as in ASSIGN: dbPassword, CLIENTSECRET
+CONTEXT = re.compile(r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?)[\"']?[\x20\t]*[:=][\x20\t]*[\"']?([^\s\"']{6,})", re.I | re.A)
 HINTS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "credential")
 
 # Words that guessers try first, in order of rank.
@@ -42,8 +44,8 @@ WORDS = (
     "access service server database example sample demo company office home phone computer internet house garden money "
     "correct horse battery staple none null true false value string here text"
 ).split()
-RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST_WORD = max(map(len, WORDS))
+#: Letters that a word of the vocabularies has at least: shorter ones are mostly fragments.
+LEAST_LETTERS = 4
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 # Rows of a keyboard and of the alphabet.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0987654321", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik9ol0p")
@@ -52,6 +54,30 @@ DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]
 YEAR_BITS, DAY_BITS = math.log2(130), math.log2(365)
 
 
+@lru_cache(1)
+def _ranks() -> tuple[dict[str, int], int]:
+    """Words by rank, and the length of the longest: WORDS, then whole words (those that
+    begin with a space) of the public vocabularies, by the better of their ranks."""
+    import base64
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        found = {t[1:]: i for t, i in json.load(f)["model"]["vocab"].items() if t[:1] == "\u0120" and t[1:].isascii()}
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        for line in f:
+            token, i = line.split()
+            word = base64.b64decode(token).decode("utf-8", "ignore")
+            if word[:1] == " ":
+                found[word[1:]] = min(int(i), found.get(word[1:], int(i)))
+    words = [w.lower() for w in sorted(found, key=found.__getitem__) if len(w) >= LEAST_LETTERS and w.isalpha()]
+    ranks: dict[str, int] = {}
+    for w in [*WORDS, *words]:
+        ranks.setdefault(w, len(ranks) + 1)
+    return ranks, max(map(len, ranks))
+
+
 def _alphabet(value: str) -> float:
     """Bits of one brute-force character: of the classes that the value has."""
     size = 26 * any("a" <= c <= "z" for c in value) + 26 * any("A" <= c <= "Z" for c in value) + 10 * any("0" <= c <= "9" for c in value) + 33 * any(not c.isalnum() for c in value) + 100 * any(c.isalnum() and c > "\x7f" for c in value)
@@ -66,6 +92,7 @@ def guess_bits(value: str) -> float:
         return sum(guess_bits(value[i : i + MAX_VALUE]) for i in range(0, len(value), MAX_VALUE))
     n, each, low = len(value), _alphabet(value), value.lower()
     plain = low.translate(LEET)
+    ranks, longest = _ranks()
     best = [0.0] + [math.inf] * n
     dates: dict[int, list[int]] = {}
     for i in range(n):
@@ -78,11 +105,11 @@ def guess_bits(value: str) -> float:
         for j in range(i + 1, n + 1):
             best[j] = min(best[j], at + each * (j - i))
         # dictionary words, upper case and substitutions costing a little more
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
                 upper = sum(c.isupper() for c in value[i:j])
-                swaps = sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True)) if low[i:j] not in RANK else 0
+                swaps = sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True)) if low[i:j] not in ranks else 0
                 variants = (1.0 if upper in (1, j - i) else math.log2(math.comb(j - i, upper) + 1)) if upper else 0.0
                 best[j] = min(best[j], at + math.log2(rank) + variants + swaps + 1)
         for j in dates.get(i, ()):

@@ -333,6 +333,17 @@ def test_op10(docs, rows, none):
     assert secrets.redact_documents(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("text", ["dbPassword=Zq8#vL2!xw9@pT", "clientSecret: Zq8#vL2!xw9@pT", "DBPASSWORD=Zq8#vL2!xw9@pT"])
+def test_op10_keywords_after_letters(text):
+    base, spans = secrets.scan(text)
+    assert not base and [(text[a:b], k) for a, k, b in spans] == [("Zq8#vL2!xw9@pT", 3)]
+
+
+@pytest.mark.parametrize("word", ["required", "disabled", "rotation", "Unavailable", "protected", "encryption", "Kennwort"])
+def test_op10_ordinary_words(word):
+    assert secrets.redact(f"password: {word} now") == f"password: {word} now"
+
+
 def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline
 
