@@ -12,9 +12,10 @@ after by longest common subsequence; lines that both have are shared furniture a
 deleted. A line inside an ``article`` or ``main`` element is not deleted for being
 shared: neighbouring pages may hold copies of the same article, and the contract is to
 keep the article whole. So differencing decides where markup doesn't say, on pages
-without such an element.
+without such an element. There, too, a neighbour may be a copy: one that shares ``NEARLY``
+of the characters outside furniture says nothing about the page, and deletes nothing.
 
-Only line hashes travel to the ordering; the extracted texts then meet the lists of
+Only line hashes and lengths travel to the ordering; the extracted texts then meet the lists of
 shared lines in one join.
 
 Edge cases: null or empty html gives an empty text; pages without a host are a host of
@@ -163,6 +164,20 @@ def line_hashes(blocks: list[tuple[str, bool, bool]]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(t.encode()) for t, _, _ in blocks], np.uint64)
 
 
+#: Share of a page's characters outside furniture that only a copy of it has too.
+NEARLY = 0.9
+
+
+def packed_lines(blocks: list[tuple[str, bool, bool]]) -> bytes:
+    """Line hashes, then each line's characters, 0 in furniture."""
+    return line_hashes(blocks).tobytes() + np.array([0 if furniture else len(t) for t, furniture, _ in blocks], np.uint32).tobytes()
+
+
+def unpacked_lines(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    return np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint32, n, 8 * n)
+
+
 def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Places in a of a longest common subsequence with b. Equal ends are taken first;
     the rest is matched by the points (i, j) of equal lines, taken in order of i with j
@@ -204,26 +219,39 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for page_id, url, sha, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             m = _URL.match(url or "")
-            rows.append((page_id, url, sha, m[1].lower() if m else "", m[2] if m else url or "", line_hashes(blocks_of(page or "")).tobytes()))
+            rows.append((page_id, url, sha, m[1].lower() if m else "", m[2] if m else url or "", packed_lines(blocks_of(page or ""))))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)], _PARTS.names)
 
 
-_SHARED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("page_sha", T.LongType()), T.StructField("shared", T.BinaryType())])
+_SHARED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("page_sha", T.LongType()), T.StructField("shared", T.BinaryType()), T.StructField("gone", T.BinaryType())])
+
+
+def deleted(chars: np.ndarray, shared: list[np.ndarray]) -> np.ndarray:
+    """Of a page's lines, by their characters, and the places that each neighbour shares:
+    the places to delete. Neighbours that leave next to nothing are copies; where only both
+    together do, what both share goes."""
+    least = NEARLY * int(chars.sum())
+    shared = [x for x in shared if int(chars[x].sum()) < least]
+    if not shared:
+        return np.empty(0, np.int64)
+    every = np.unique(np.concatenate(shared))
+    return every if int(chars[every].sum()) < least else np.intersect1d(*shared)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the lines of the page before and after: the places of shared lines."""
+    """Rows with the lines of the page before and after: the places of shared lines,
+    and of those to delete."""
     for batch in batches:
         rows = []
         for page_id, url, sha, mine, before, after in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "page_sha", "lines", "before", "after")), strict=True):
-            a = np.frombuffer(mine, np.uint64)
-            shared = [common_lines(a, np.frombuffer(x, np.uint64)) for x in (before, after) if x]
+            a, chars = unpacked_lines(mine)
+            shared = [common_lines(a, unpacked_lines(x)[0]) for x in (before, after) if x]
             both = np.unique(np.concatenate(shared)) if shared else np.empty(0, np.int64)
             if len(both):
-                rows.append((page_id, url, sha, both.astype("<i4").tobytes()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], _SHARED.names)
+                rows.append((page_id, url, sha, both.astype("<i4").tobytes(), deleted(chars, shared).astype("<i4").tobytes()))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], _SHARED.names)
 
 
 def neighbours(parts: DataFrame) -> DataFrame:
@@ -275,16 +303,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Deletes shared lines where markup doesn't name the article."""
     for batch in batches:
-        texts, lines, gone = [], [], []
-        for marked, text, places, shared in zip(*(batch.column(c).to_pylist() for c in ("marked", "text", "places", "shared")), strict=True):
+        texts, lines, common = [], [], []
+        for marked, text, places, shared, gone in zip(*(batch.column(c).to_pylist() for c in ("marked", "text", "places", "shared", "gone")), strict=True):
             places = np.frombuffer(places, "<i4")
-            drop = set(np.frombuffer(shared, "<i4").tolist()) if shared else set()
+            drop = set(np.frombuffer(gone, "<i4").tolist()) if gone else set()
             if drop and not marked and text:
                 text = "\n\n".join(t for t, k in zip(text.split("\n\n"), places[1:].tolist(), strict=True) if k not in drop)
             texts.append(text)
             lines.append(int(places[0]))
-            gone.append(len(drop))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], TEXTS.names)
+            common.append(len(shared or b"") // 4)
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(lines, pa.int64()), pa.array(common, pa.int64())], TEXTS.names)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -293,6 +321,6 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "xxhash64(html) page_sha", "cast(html as string) html")
     shared = neighbours(pages.mapInArrow(_describe, _PARTS)).mapInArrow(_compare, _SHARED)
     # Repeated rows are neighbours of each other; one of their lists stands for all.
-    shared = shared.groupBy("page_id", "url", "page_sha").agg(F.max("shared").alias("shared")).withColumnsRenamed({"page_id": "p", "url": "u", "page_sha": "h"})
+    shared = shared.groupBy("page_id", "url", "page_sha").agg(F.max("shared").alias("shared"), F.max("gone").alias("gone")).withColumnsRenamed({"page_id": "p", "url": "u", "page_sha": "h"})
     joined = pages.mapInArrow(_cut, _BLOCKS).join(shared, F.expr("page_id <=> p and url <=> u and page_sha = h"), "left")
-    return joined.select("page_id", "url", "marked", "text", "places", "shared").mapInArrow(_delete, TEXTS)
+    return joined.select("page_id", "url", "marked", "text", "places", "shared", "gone").mapInArrow(_delete, TEXTS)

@@ -305,6 +305,26 @@ def test_op9(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_op9_copies_keep_their_text(spark):
+    """Copies, near copies and repeated rows without an article element."""
+    text = [f"Sentence {i} of a text that several pages hold." for i in range(12)]
+    page = lambda *lines: PAGE.format("<div><p>Home News Contact</p>" + "".join(f"<p>{x}</p>" for x in lines) + "</div>")
+    own = [f"What only another page says, number {i}." for i in range(12)]
+    rows = [(1, "http://h/1", page(*text)), (2, "http://h/2", page(*text)), (3, "http://h/3", page(*text[:-1], "Changed.")), (4, "http://h/4", page(*own)), (5, "http://i/1", page(*text)), (5, "http://i/1", page(*text))]
+    got = [(r.page_id, r.text) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    menu, body = "Home News Contact\n\n", "\n\n".join(text)
+    near = "\n\n".join([*text[:-1], "Changed."])
+    assert sorted(got) == [(1, menu + body), (2, menu + body), (3, near), (4, "\n\n".join(own)), (5, menu + body), (5, menu + body)]
+
+
+def test_op9_deleted():
+    chars = np.array([10, 10, 10, 10, 0], np.uint32)
+    a, b, every = np.array([0, 1, 2]), np.array([2, 3, 4]), np.arange(5)
+    assert html.deleted(chars, [a, every]).tolist() == [0, 1, 2]
+    assert html.deleted(chars, [a, b]).tolist() == [2]
+    assert html.deleted(chars, [every]).tolist() == html.deleted(chars, []).tolist() == []
+
+
 def test_common_lines():
     r = random.Random(5)
     for _ in range(200):
