@@ -8,9 +8,9 @@ their repeated edges, edges that follow one another both in the document and in
 source compact to one path: a span with its source coordinates. All words that edges
 with a source in another document cover are removed.
 
-A span of several edges is verified by its coordinates: each edge's 64-bit hash has to
-match, in order, at consecutive places of one source. A lone edge rests on one 64-bit
-hash of 13 words.
+What is removed rests on the 64-bit hashes of windows alone: every window whose hash has a
+source in another document goes. Paths describe what was removed (n_spans, longest_span);
+they reject nothing, and no window is compared with its source's words.
 
 Edges travel packed, sorted by hash, as differences; no table of all edges with a row
 each ever exists. Before they travel, each task settles what it can: of an edge that
