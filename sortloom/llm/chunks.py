@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 from .common import mix, runs_of
 
 BLOCK = 64
-MIN_CHUNK, MASK_BITS, MAX_CHUNK = 16_384, 15, 131_072
+#: Chunks of about 1,000 bytes, below the usual text's length.
+MIN_CHUNK, MASK_BITS, MAX_CHUNK = 512, 9, 8_192
 SAMPLE_RATE = 8_000
 GEAR = mix(np.arange(1000, 1256, dtype=np.uint64))
 

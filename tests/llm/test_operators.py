@@ -285,6 +285,18 @@ def test_op8(docs, rows, none):
     assert max(r.n_chunks for v in got.values() for r in v) > 1
 
 
+def test_op8_usual_texts_are_cut():
+    """Near copies of a usual length share chunks."""
+    r = random.Random(7)
+    words = [f"word{r.randrange(10**6)}" for _ in range(500)]
+    found = []
+    for w in (words, [*words[:250], "changed", *words[250:]]):
+        data = chunks._medium(" ".join(w))[44:]
+        ends = chunks.cut(data)
+        found.append({data[a:b] for a, b in zip([0, *ends], ends, strict=False)})
+    assert len(found[0]) > 2 and len(found[0] & found[1]) >= len(found[0]) // 2
+
+
 def test_gear():
     data = np.random.default_rng(4).integers(0, 256, 3000).astype(np.uint8)
     h, mask = 0, 2**64 - 1
