@@ -297,6 +297,22 @@ def test_op8_usual_texts_are_cut():
     assert len(found[0]) > 2 and len(found[0] & found[1]) >= len(found[0]) // 2
 
 
+def test_op8_store(spark, docs, rows):
+    """Each chunk's bytes are written once; media are rebuilt from nothing else."""
+    media, shared = (x.collect() for x in chunks.chunk_store(docs))
+    store, held = {r.digest: r.data for r in shared}, len(shared)
+    for m in media:
+        at = 0
+        for i, n in enumerate(np.frombuffer(m.lengths, "<i4").tolist()):
+            if n:
+                store[bytes(m.digests[16 * i : 16 * i + 16])] = m.data[at : at + n]
+                at, held = at + n, held + 1
+    assert len(store) == held and shared
+    rebuilt = {bytes(m.media_sha): b"".join(store[bytes(m.digests[i : i + 16])] for i in range(0, len(m.digests), 16)) for m in media}
+    assert rebuilt == {hashlib.sha256(d).digest(): d for d in (chunks._medium(t) for _, t, *_ in rows)}
+    assert {(bytes(r.media_sha), r.payload_bytes) for r in chunks.media_of(docs).collect()} == {(s, len(chunks.from_media(d))) for s, d in rebuilt.items()}
+
+
 def test_gear():
     data = np.random.default_rng(4).integers(0, 256, 3000).astype(np.uint8)
     h, mask = 0, 2**64 - 1
