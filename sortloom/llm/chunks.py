@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, runs_of, stage
+from .common import mix, runs_of, stage, tidy
 
 BLOCK = 64
 #: Chunks of about 1,000 bytes, below the usual text's length.
@@ -162,9 +162,9 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_map(docs: DataFrame) -> bytes:
     """A bitmap of the chunks that occur more than once, by the low bits of their digests."""
-    often = docs.select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    often = docs.select("text").mapInArrow(tidy(_counted), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     out = np.zeros((MAP_SLICES, (1 << MAP_BITS) // 8 // MAP_SLICES), np.uint8)
-    for r in often.mapInArrow(_marked, "slice int, bits binary").repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(_united, "slice int, bits binary").collect():
+    for r in often.mapInArrow(tidy(_marked), "slice int, bits binary").repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(tidy(_united), "slice int, bits binary").collect():
         out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
     return out.tobytes()
 
@@ -210,8 +210,8 @@ def chunk_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for each task that met it; every chunk's bytes are there once."""
     texts = docs.selectExpr("cast(text as string) text")
     shared = docs.sparkSession.sparkContext.broadcast(shared_map(texts))
-    cut_ = stage(texts.mapInArrow(_stored(shared), _STORE), "media")
-    chunks = cut_.where("kind = 1").select(F.col("digests").alias("digest"), "data").repartition(F.col("digest")).sortWithinPartitions("digest").mapInArrow(_once, _CHUNKS)
+    cut_ = stage(texts.mapInArrow(tidy(_stored(shared)), _STORE), "media")
+    chunks = cut_.where("kind = 1").select(F.col("digests").alias("digest"), "data").repartition(F.col("digest")).sortWithinPartitions("digest").mapInArrow(tidy(_once), _CHUNKS)
     return cut_.where("kind = 0").drop("kind"), stage(chunks, "chunks")
 
 
@@ -286,10 +286,10 @@ def media_of(docs: DataFrame) -> DataFrame:
     media, chunks = chunk_store(docs)
     some = media.where("n_shared > 0").select("media_sha", F.lit(0).alias("kind"), "digests", "lengths", "data")
     # Media that several tasks met name their chunks once.
-    names = some.select("media_sha", "digests", "lengths").dropDuplicates(["media_sha"]).mapInArrow(_named, "digest binary, media_sha binary")
+    names = some.select("media_sha", "digests", "lengths").dropDuplicates(["media_sha"]).mapInArrow(tidy(_named), "digest binary, media_sha binary")
     brought = names.join(chunks, "digest").select("media_sha", F.lit(1).alias("kind"), F.col("digest").alias("digests"), F.lit(None).cast("binary").alias("lengths"), "data")
-    met = some.unionByName(brought).repartition(F.col("media_sha")).sortWithinPartitions("media_sha", "kind").mapInArrow(_rebuild, MEDIA)
-    return media.where("n_shared = 0").mapInArrow(_alone, MEDIA).unionByName(met)
+    met = some.unionByName(brought).repartition(F.col("media_sha")).sortWithinPartitions("media_sha", "kind").mapInArrow(tidy(_rebuild), MEDIA)
+    return media.where("n_shared = 0").mapInArrow(tidy(_alone), MEDIA).unionByName(met)
 
 
 _ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("media_sha", T.BinaryType())])
@@ -303,5 +303,5 @@ def _row_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the medium's columns for each row of docs (doc_id, text)."""
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(_row_keys, _ROWS)
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(_row_keys), _ROWS)
     return rows.join(media_of(docs), "media_sha").drop("media_sha")

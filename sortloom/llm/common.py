@@ -7,15 +7,21 @@ exactly what ``bytes.split()`` gives, as no other byte is ASCII white space.
 from __future__ import annotations
 
 import atexit
-import os
+import ctypes
+import gc
 import shutil
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Entries that a worker's word cache may hold; beyond, words are hashed anew.
@@ -34,13 +40,48 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: Paths that open scopes have to remove, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and a
-    lost executor costs no recomputation."""
+    lost executor costs no recomputation. The innermost open scope removes the table,
+    or, if it is to be kept, the scope around that one."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    around = _SCOPES[: len(_SCOPES) - keep]
+    if around:
+        around[-1].append(path)
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more: all that came of them is
+    written."""
+    for df in tables:
+        _remove(df.sparkSession, df.staged_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """Tables staged in here are removed at its end; what came of them has to be written
+    by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _remove(spark, path)
 
 
 def buckets_for(df: DataFrame) -> int:
@@ -129,9 +170,6 @@ def cuts(sorted_values: np.ndarray) -> np.ndarray:
 def runs_of(batches: Iterator, key: str) -> Iterator[tuple[object, Iterator]]:
     """Groups of record batches sorted by key: (key, rows of that key as batches),
     each to be used up before the next."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     queue: list[pa.RecordBatch] = []
     source = iter(batches)
 
@@ -166,11 +204,84 @@ def runs_of(batches: Iterator, key: str) -> Iterator[tuple[object, Iterator]]:
             pass
 
 
-def calm_gc() -> None:
-    """Large caches of plain values make Python's cycle search costly; it runs less often."""
-    import gc
+@lru_cache(1)
+def _trim():
+    """The allocator's call that gives free memory back to the system, if it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def tidy(run):
+    """run for mapInArrow, by a worker that other tasks use after it: Python's cycle search
+    runs less often meanwhile (large caches of plain values make it costly), and at the end
+    what was freed goes back to the system instead of staying with the worker."""
+
+    def wrapped(batches):
+        before = gc.get_threshold()
+        gc.set_threshold(200_000, 50, 100)
+        try:
+            yield from run(batches)
+        finally:
+            gc.set_threshold(*before)
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return wrapped
+
+
+# ---------------------------------------------------------------- bitmaps
+#: Bits of a map of values that a join wants: a fixed 1 MB, whatever the input. What it
+#: lets pass beside them, the join drops.
+BITMAP_BITS, BITMAP_SLICES = 23, 128
 
-    gc.set_threshold(200_000, 50, 100)
+
+def cell_of(value: Column | str, name: str = "cell") -> Column:
+    """The bit of a value."""
+    return F.pmod(F.xxhash64(value), F.lit(1 << BITMAP_BITS)).cast("int").alias(name)
+
+
+def _mark(batches: Iterator) -> Iterator:
+    seen = np.zeros(1 << BITMAP_BITS, bool)
+    for batch in batches:
+        seen[batch.column(0).to_numpy()] = True
+    for i, part in enumerate(np.packbits(seen).reshape(BITMAP_SLICES, -1)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "bits"])
+
+
+def _unite(batches: Iterator) -> Iterator:
+    for number, parts in runs_of(batches, "slice"):
+        total = np.zeros((1 << BITMAP_BITS) // 8 // BITMAP_SLICES, np.uint8)
+        for part in parts:
+            for data in part.column("bits").to_pylist():
+                total |= np.frombuffer(data, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "bits"])
+
+
+def bitmap(cells: DataFrame) -> bytes:
+    """The bits of a column of cells, united in tasks; BITMAP_SLICES rows at the driver."""
+    out = np.zeros((BITMAP_SLICES, (1 << BITMAP_BITS) // 8 // BITMAP_SLICES), np.uint8)
+    for r in cells.mapInArrow(tidy(_mark), "slice int, bits binary").repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(tidy(_unite), "slice int, bits binary").collect():
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def sift(shared, hits: bool, cells: int = 1):
+    """Rows without their last columns, the cells: those with a cell in the broadcast
+    bitmap, or the others."""
+
+    def run(batches: Iterator) -> Iterator:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            hit, k = np.zeros(batch.num_rows, bool), batch.num_columns - cells
+            for column in batch.columns[k:]:
+                cell = column.to_numpy()
+                hit |= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays(batch.columns[:k], names=batch.schema.names[:k]).filter(pa.array(hit == hits))
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,6 +290,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def utf8(column) -> list[bytes]:
     """Texts of an Arrow string column as UTF-8, nulls as empty."""
-    import pyarrow as pa
-
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def slices(batches: Iterator, column: int = 1, most: int = 1 << 20) -> Iterator:
+    """Batches cut to about so many bytes of a text column, a row at least."""
+    for batch in batches:
+        upto = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + most, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end

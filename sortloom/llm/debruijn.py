@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import WordHashes, bucket_of, cuts, gram_hashes, runs_of, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, utf8
+from .common import WordHashes, bucket_of, cuts, gram_hashes, runs_of, squeeze, squeeze_sorted, tidy, unsqueeze, unsqueeze_sorted, utf8
 
 WINDOW = 13
 #: Edges that a task holds before it packs them.
@@ -259,6 +259,6 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, digest: bool = False, block
         kept = b" ".join(words)
         return doc, len(words) + gone, gone, spans, longest, hashlib.sha256(kept).hexdigest() if digest else kept.decode()
 
-    edges = docs.mapInArrow(_edges(k, buckets, block), _EDGES).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    home = edges.mapInArrow(_repeated, _HOME).unionByName(docs.mapInArrow(_documents, _HOME))
-    return home.repartition(buckets, "home").sortWithinPartitions("home", "kind").mapInArrow(_home(describe), RESULT)
+    edges = docs.mapInArrow(tidy(_edges(k, buckets, block)), _EDGES).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    home = edges.mapInArrow(tidy(_repeated), _HOME).unionByName(docs.mapInArrow(tidy(_documents), _HOME))
+    return home.repartition(buckets, "home").sortWithinPartitions("home", "kind").mapInArrow(tidy(_home(describe)), RESULT)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import calm_gc
+from .common import slices, tidy
 
 MARK = "▁"
 _MARK_B = MARK.encode()
@@ -184,12 +184,13 @@ class PieceCodec:
 
     def _spans_by_library(self, normalized: bytes, align: np.ndarray, ids: list[int]) -> np.ndarray:
         """With unknown pieces, whose length the id doesn't tell: matched in turn, an
-        unknown reaching to the next known piece."""
+        unknown reaching to the next known piece, or to the end if that isn't found."""
         at, ends = 0, []
         for k, i in enumerate(ids):
             if i == self.unknown:
                 follow = next((self.surface[j] for j in ids[k + 1 :] if j != self.unknown), None)
-                at = len(normalized) if follow is None else normalized.index(follow, at + 1)
+                found = -1 if follow is None else normalized.find(follow, at + 1)
+                at = len(normalized) if found < 0 else found
             else:
                 at += len(self.surface[i])
             ends.append(min(at, len(normalized)))
@@ -205,20 +206,23 @@ SCHEMA = T.StructType([
     T.StructField("span_begin", T.ArrayType(T.IntegerType())), T.StructField("span_end", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()),
 ])
 DIGESTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("spans_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())])
-_CODECS: dict[str, PieceCodec] = {}
 
 
 def _encoded(batches, path: str):
-    calm_gc()
-    codec = _CODECS.get(path) or _CODECS.setdefault(path, PieceCodec(path))
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = []
-            for text, ids in zip(texts, codec.encode(texts), strict=True):
-                rows.append((text, ids, codec.spans(ids, *codec.normalize(text.encode()))))
-            yield codec, batch.column(0), rows
+    codec = PieceCodec(path)
+    for batch in slices(batches):
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        rows = []
+        for text, ids in zip(texts, codec.encode(texts), strict=True):
+            data = text.encode()
+            rows.append((data, ids, codec.spans(ids, *codec.normalize(data))))
+        yield codec, batch.column(0), rows
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """Number arrays as one list array, without a Python object for each number."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *parts]).astype(np.int32)))
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
@@ -228,15 +232,13 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codec, doc_ids, rows in _encoded(batches, model_path):
             ids = [[*r[1], codec.eos] for r in rows]
-            size = [len(r[0].encode()) for r in rows]
             yield pa.RecordBatch.from_arrays([
-                doc_ids, pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())),
-                pa.array([[*r[2][:, 0], n] for r, n in zip(rows, size, strict=True)], pa.list_(pa.int32())),
-                pa.array([[*r[2][:, 1], n] for r, n in zip(rows, size, strict=True)], pa.list_(pa.int32())),
+                doc_ids, pa.array([len(i) for i in ids], pa.int64()), _lists([np.array(i, np.int32) for i in ids]),
+                _lists([np.append(r[2][:, 0], len(r[0])) for r in rows]), _lists([np.append(r[2][:, 1], len(r[0])) for r in rows]),
                 pa.array([codec.decode(i) for i in ids], pa.string()),
             ], [f.name for f in SCHEMA])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), SCHEMA)
 
 
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
@@ -247,12 +249,12 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
         sha = hashlib.sha256
         for codec, doc_ids, rows in _encoded(batches, model_path):
             out = []
-            for text, ids, spans in rows:
+            for data, ids, spans in rows:
                 ids = [*ids, codec.eos]
-                decoded = codec.decode(ids)
-                tiled = not len(spans) or bool((spans[1:, 0] == spans[:-1, 1]).all() and spans[-1, 1] == len(text.encode()))
-                out.append((len(ids), sha(b" ".join(map(codec.text_of.__getitem__, ids))).hexdigest(), sha(decoded.encode()).hexdigest(), sha(spans.astype("<i8").tobytes()).hexdigest(), decoded == text and tiled))
+                decoded = codec.decode(ids).encode()
+                tiled = not len(spans) or bool((spans[1:, 0] == spans[:-1, 1]).all() and spans[-1, 1] == len(data))
+                out.append((len(ids), sha(b" ".join(map(codec.text_of.__getitem__, ids))).hexdigest(), sha(decoded).hexdigest(), sha(spans.astype("<i8").tobytes()).hexdigest(), decoded == data and tiled))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:4]), pa.array(cols[4], pa.bool_())], [f.name for f in DIGESTS])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, DIGESTS)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), DIGESTS)

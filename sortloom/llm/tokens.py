@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import calm_gc
+from .common import slices, tidy
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
@@ -151,15 +151,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, chunk_chars: int = CHUNK_
     key = (tokenizer_path, chunk_chars, overlap_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        calm_gc()
         counter = _COUNTERS.get(key) or _COUNTERS.setdefault(key, TokenCounter(*key))
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counter.count(texts), pa.int64())],
-                    ["doc_id", "n_bytes", "n_tokens"],
-                )
-
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counter.count(texts), pa.int64())],
+                ["doc_id", "n_bytes", "n_tokens"],
+            )
+
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), SCHEMA)
