@@ -7,7 +7,14 @@ at least ``min_words`` words cover spans; their union is the covered part. A tex
 kept if the covered fraction is at most ``max_covered`` and the longest repeat at
 most ``max_longest`` of its words.
 
-Edge cases: null and empty texts have no words and fail the base rules.
+The verdict decides where the base rules pass: a long text that says a third of its words
+twice, or one long passage again, has too few words in repeated three-word windows to fail.
+
+Edge cases: null and empty texts have no words and fail the base rules. Very long texts are
+judged whole; a text of one repeated passage needs eight bytes a word for each doubling of
+the passage's length. Equal texts have equal rows, repeated rows give repeated rows; rows
+without a doc_id are judged like others. An empty table gives an empty result; other columns
+are not read, so names that clash with the result's do no harm.
 """
 
 from __future__ import annotations
@@ -20,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-MIN_WORDS, MAX_COVERED, MAX_LONGEST = 8, 0.40, 0.25
+from .common import tidy
+
+MIN_WORDS, MAX_COVERED, MAX_LONGEST = 8, 0.30, 0.25
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
 
@@ -70,19 +79,56 @@ def neighbours_lcp(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def repeats(ids: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, int]:
-    """Which words maximal repeats of min_words or more cover, and the longest."""
-    n = len(ids)
-    if n < 2:
-        return np.zeros(n, bool), 0
+def lcp_intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(length, first, last) of the intervals of the suffix array whose suffixes share a
+    prefix of that length, least or more, and no longer one together."""
+    out: list[tuple[int, int, int]] = []
+    open_: list[tuple[int, int]] = []
+    at = np.flatnonzero(lcp >= least)
+    last = -2
+    for i, length in zip(at.tolist(), lcp[at].tolist(), strict=True):
+        if i != last + 1:
+            out += [(n, first, last + 1) for n, first in reversed(open_)]
+            open_.clear()
+        first = i
+        while open_ and open_[-1][0] > length:
+            n, first = open_.pop()
+            out.append((n, first, i))
+        if not open_ or open_[-1][0] < length:
+            open_.append((length, first))
+        last = i
+    return out + [(n, first, last + 1) for n, first in reversed(open_)]
+
+
+def maximal_repeats(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The suffix array, the longest common prefixes of neighbours, and the intervals that
+    no word on the left extends: maximal repeats, which occur at order[first..last]."""
     order, levels = suffix_array(ids)
     lcp = neighbours_lcp(order, levels)
+    before = np.where(order > 0, ids[order - 1], -1)
+    # a text's first word has nothing before it, which differs from everything
+    differs = np.concatenate(([0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))))
+    return order, lcp, [x for x in lcp_intervals(lcp, least) if differs[x[2]] > differs[x[1]]]
+
+
+def repeats(ids: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, int, int]:
+    """Which words maximal repeats of min_words or more cover, how many such repeats there
+    are, and the length of the longest repeat of any size."""
+    n = len(ids)
+    if n < 2:
+        return np.zeros(n, bool), 0, 0
+    order, lcp, found = maximal_repeats(ids, min_words)
+    if not found:
+        return np.zeros(n, bool), 0, int(lcp.max())
+    # Of nested intervals the deepest covers most at a suffix: the union of all spans is
+    # that of each suffix with its deepest interval, so it takes a step a suffix. Intervals
+    # that a word on the left extends lie within the span of the extended one.
+    deepest = np.maximum(np.append(lcp, 0), np.insert(lcp, 0, 0))
+    deepest[deepest < min_words] = 0
     edge = np.zeros(n + 1, np.int64)
-    long = lcp >= min_words
-    for starts in (order[:-1][long], order[1:][long]):
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + lcp[long], -1)
-    return np.cumsum(edge[:-1]) > 0, int(lcp.max())
+    np.add.at(edge, order, 1)
+    np.add.at(edge, order + deepest, -1)
+    return np.cumsum(edge[:-1]) > 0, len(found), max(x[0] for x in found)
 
 
 def trigram_words(ids: np.ndarray) -> int:
@@ -108,7 +154,7 @@ def trigram_words(ids: np.ndarray) -> int:
 
 def judge(text: str, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    n_covered, longest_repeat, kept."""
+    n_repeats, n_covered, longest_repeat, kept."""
     data = text.encode()
     words = data.split()
     n = len(words)
@@ -122,15 +168,15 @@ def judge(text: str, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERE
             seen.add(line)
     again = trigram_words(ids)
     failed = n < 50 or 100 * again > 50 * n
-    covered, longest = repeats(ids, min_words)
+    covered, n_repeats, longest = repeats(ids, min_words)
     n_covered = int(covered.sum())
     kept = not failed and n_covered <= max_covered * n and longest <= max_longest * n
-    return n, len(joined.decode()), len(_SYMBOLS.findall(text)), dup, again, failed, n_covered, longest, kept
+    return n, len(joined.decode()), len(_SYMBOLS.findall(text)), dup, again, failed, n_repeats, n_covered, longest, kept
 
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), *(T.StructField(x, T.LongType()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), T.StructField("base_failed", T.BooleanType()),
-    T.StructField("n_covered_words", T.LongType()), T.StructField("longest_repeat", T.LongType()), T.StructField("kept", T.BooleanType()),
+    T.StructField("n_repeats", T.LongType()), T.StructField("n_covered_words", T.LongType()), T.StructField("longest_repeat", T.LongType()), T.StructField("kept", T.BooleanType()),
 ])
 
 
@@ -140,8 +186,8 @@ def repetition_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [judge(t or "", min_words, max_covered, max_longest) for t in batch.column(1).to_pylist()]
-            cols = list(zip(*rows, strict=True)) or [[]] * 9
-            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 2 + [pa.bool_()]
+            cols = list(zip(*rows, strict=True)) or [[]] * 10
+            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 3 + [pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], SCHEMA.names)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), SCHEMA)
