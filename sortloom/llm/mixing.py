@@ -6,23 +6,29 @@ source whose target is ``MAX_REPEAT`` times its size gives just that. A source g
 passes first, and the blocks of what is left are dealt to its shards in the same way,
 weighted by the shards' sizes. The last block of a source or shard may be short, and what
 finds no room in one shard goes to others, so no words are lost to rounding. Within a
-shard, blocks are chosen by a seeded order; what a document gives is what its words have
-in common with chosen blocks. No block is chosen twice in a pass and no source gives more
+shard, documents stand on a line in a seeded order, blocks of the line's words stand on a
+ring, and the chosen ones are neighbours, from a seeded first block on: documents are a
+random choice of the shard, and only those at the ends of a shard's arc are cut. What a
+document gives is what its words have in common with chosen blocks. No block is chosen twice in a pass and no source gives more
 than ``MAX_REPEAT`` passes, so no document exceeds ``MAX_REPEAT`` times its size.
 
 Only two small tables meet at the driver: one row per source, and per source and shard
-their sizes (a source's shards follow from its own size, up to ``MAX_SHARDS``). Everything
+their sizes (``SHARD_UNIT``; 18,000 rows for a source of 1.6e12 words). Everything
 on documents is plain DataFrame code; a source holding a third of all rows is split over
 its shards.
 
 Edge cases: a null or empty text has size 0 and gives 0; a null source is a source of
-its own, the last; repeated rows are one after another in their shard's order; an empty
-table gives an empty result.
+its own, the last; a source without words has target 0. A very long text spans many blocks
+and may be cut once. Repeated rows, and rows without a doc_id, are one after another in
+their shard's order; equal quotients go to the source or shard that stands first. An empty
+table gives an empty result. mixed_documents gives all columns back as they are, whatever
+their names; only __cut is its own.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
@@ -31,13 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, tidy
 
-SEED, BLOCK_WORDS, MAX_REPEAT, MAX_SHARDS = 17, 64, 3, 4096
-#: Words that a shard holds about: what one task orders at once.
-SHARD_WORDS = 2_000_000
-#: Shards of a source that is smaller, if each then holds so many blocks.
-FEW_SHARDS, FEW_BLOCKS = 8, 1_000
+SEED, BLOCK_WORDS, MAX_REPEAT = 17, 64, 3
+#: A source of n words has sqrt(n / SHARD_UNIT) shards: both their number, which meets at the
+#: driver, and what one task orders at once grow with the root of the source's size.
+SHARD_UNIT = 5_000
 WEIGHTS = (5, 2, 1)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -126,9 +131,9 @@ def deal(votes: Sequence[Fraction | int], words: int, block: int, room: Sequence
     return given
 
 
-def shards_of(size: int, shard_words: int, block: int) -> int:
+def shards_of(size: int, unit: int) -> int:
     """Shards of a source, by its own size."""
-    return int(min(MAX_SHARDS, max(1, -(-size // shard_words), min(FEW_SHARDS, size // (FEW_BLOCKS * block)))))
+    return max(1, math.isqrt(size // unit))
 
 
 def block_of(total: int, block_words: int) -> int:
@@ -166,13 +171,13 @@ def _sized(docs: DataFrame, row, seed: int) -> DataFrame:
     return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
 
 
-def _taken(docs: DataFrame, row, seed: int, block_words: int, shard_words: int) -> DataFrame:
+def _taken(docs: DataFrame, row, seed: int, block_words: int, shard_unit: int) -> DataFrame:
     """row, source, size, source_size, target, taken of each row of docs."""
     small = stage(_sized(docs, F.struct(F.lit(0).alias("none")), seed).drop("row", "doc_id"), "sizes")
     sizes = small.groupBy("source").agg(F.sum("size").alias("n")).collect()
     block = block_of(sum(r.n for r in sizes), block_words)
-    # Sources of several shards, one row each: at most the corpus's words over FEW_BLOCKS blocks.
-    several = [("null" if r.source is None else "=" + r.source, k) for r in sizes if (k := shards_of(r.n, shard_words, block)) > 1]
+    # Sources of several shards, one row each.
+    several = [("null" if r.source is None else "=" + r.source, k) for r in sizes if (k := shards_of(r.n, shard_unit)) > 1]
     several = F.broadcast(docs.sparkSession.createDataFrame(several, "key string, shards int"))
 
     def sharded(d: DataFrame) -> DataFrame:
@@ -181,7 +186,7 @@ def _taken(docs: DataFrame, row, seed: int, block_words: int, shard_words: int)
         return d.withColumn("shard", F.pmod(F.shiftright("h", 20), F.coalesce("shards", F.lit(1))).cast("int")).drop("shards")
 
     plan = quotas(sharded(small), block)
-    # One row per source and shard, at most MAX_SHARDS a source: what each of them gives.
+    # One row per source and shard: what each of them gives.
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("key")
     d = sharded(_sized(docs, row, seed)).join(plan.select(key, "shard", "shard_size", "source_size", "target", "words"), ["key", "shard"])
     line = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size")
@@ -201,10 +206,10 @@ def _taken(docs: DataFrame, row, seed: int, block_words: int, shard_words: int)
     return d.select("row", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_unit: int = SHARD_UNIT) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for each row of docs
     (doc_id, text, source)."""
-    taken = _taken(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id")), seed, block_words, shard_words)
+    taken = _taken(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id")), seed, block_words, shard_unit)
     return taken.select("row.doc_id", "source", "size", "source_size", "target", "taken")
 
 
@@ -216,10 +221,10 @@ def first_words(text: str, n: int) -> str:
     return text[:end]
 
 
-def mixed_documents(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_unit: int = SHARD_UNIT) -> DataFrame:
     """The mix itself, with the columns of docs: each row as often as it is taken whole,
     and once more, cut after the words that are left to take, where it is taken in part."""
-    taken = _taken(docs, F.struct("*"), seed, block_words, shard_words).where("taken > 0")
+    taken = _taken(docs, F.struct("*"), seed, block_words, shard_unit).where("taken > 0")
     copies = taken.select("row", F.explode(F.expr("transform(sequence(0, (taken - 1) div size), i -> least(size, taken - i * size))")).alias("words"), "size")
     columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
     names, at = docs.columns, docs.columns.index("text")
@@ -235,4 +240,4 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return copies.select(*columns, F.when(F.col("words") < F.col("size"), F.col("words")).alias("__cut")).mapInArrow(shorten, docs.schema)
+    return copies.select(*columns, F.when(F.col("words") < F.col("size"), F.col("words")).alias("__cut")).mapInArrow(tidy(shorten), docs.schema)
