@@ -9,18 +9,23 @@ reader comments, are furniture.
 Each page is then compared with its neighbours: pages of a host are ordered by URL path,
 and the lines (blocks) of a page are aligned with those of the page before and the page
 after by longest common subsequence; lines that both have are shared furniture and are
-deleted. A line inside an ``article`` or ``main`` element is not deleted for being
-shared: neighbouring pages may hold copies of the same article, and the contract is to
-keep the article whole. So differencing decides where markup doesn't say, on pages
-without such an element. There, too, a neighbour may be a copy: one that shares ``NEARLY``
-of the characters outside furniture says nothing about the page, and deletes nothing.
+deleted wherever markup leaves them open: all lines outside furniture on pages without an
+``article`` or ``main`` element, and in such an element the parts whose class or id has a
+word that could mean furniture (``section-header``, ``notice``). Other lines of an article
+are not deleted for being shared: neighbouring pages may hold copies of the same article or
+the same sentence, and the contract is to keep the article whole. A neighbour that shares
+``NEARLY`` of the characters outside furniture is a copy; it says nothing about the page,
+and deletes nothing.
 
 Only line hashes and lengths travel to the ordering; the extracted texts then meet the lists of
 shared lines in one join.
 
-Edge cases: null or empty html gives an empty text; pages without a host are a host of
-their own; repeated pages are neighbours of each other; unclosed elements end with the
-element around them.
+Edge cases: null or empty html gives an empty text; pages without a host, or without a
+url, are a host of their own; repeated pages are neighbours of each other, and pages of
+equal path stand in the order of url, id and content; unclosed elements end with the element
+around them. Very long pages are cut whole, and lines of any number are aligned in steps
+in proportion to their equal pairs. An empty table gives an empty result; other columns are
+not read, so names that clash with the result's do no harm.
 """
 
 from __future__ import annotations
@@ -36,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import stage, tidy
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_SPACE = re.compile(r"[ \t\n\r\f\v ]+")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
+_SPACE = re.compile(r"\s+")
 
 # Elements by their role in the HTML standard.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"}
@@ -57,38 +62,50 @@ NAMES = set(
     "sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer foot share sharing social related recommended newsletter subscribe subscription signup login search toolbar "
     "comment comments commentlist disqus respond reply replies discussion pagination pager copyright legal widget".split()
 )
+# Whole class and id names that mark furniture inside an article, too.
+OUTRIGHT = set(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsored sponsored-content sidebar navbar breadcrumb breadcrumbs pagination newsletter newsletter-signup "
+    "cookie-banner cookie-consent cookie-notice share-buttons social-share social-links sharing related-posts related-articles comments comment-list comments-list commentlist comment-form comment-section reader-comments disqus-thread".split()
+)
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _ATTR.findall(raw)}
 
 
-def _is_furniture(tag: str, raw: str) -> bool:
+def _is_furniture(tag: str, raw: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether its name only raises a suspicion. Inside
+    the article a name has to be one of OUTRIGHT as a whole; a part of it that could mean
+    furniture (section-header, side-by-side, notice) leaves the verdict to differencing."""
     if tag in FURNITURE:
-        return True
+        return True, False
     if tag in ("html", "body") or not raw.strip():
-        return False
+        return False, False
     at = _attributes(raw)
     if at.get("role", "").lower() in ROLES or "hidden" in at or at.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", at.get("style", ""), re.I):
-        return True
+        return True, False
     if tag in MAIN:
-        return False
-    names = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{at.get('class', '')} {at.get('id', '')}").lower())
-    return not NAMES.isdisjoint(names)
-
-
-def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, in furniture, in an article or main element) of each block with text."""
-    out: list[tuple[str, bool, bool]] = []
+        return False, False
+    called = f"{at.get('class', '')} {at.get('id', '')}"
+    named = not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", called).lower()))
+    if not inside:
+        return named, False
+    return not OUTRIGHT.isdisjoint(called.lower().replace("_", "-").split()), named
+
+
+def blocks_of(page: str) -> list[tuple[str, bool, int]]:
+    """(text, in furniture, place) of each block with text; place: 1 in an article or main
+    element, 2 in a part of one whose name raises a suspicion, 0 elsewhere."""
+    out: list[tuple[str, bool, int]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture here or above, main here or above
+    stack: list[tuple[str, bool, int]] = []  # tag, furniture here or above, place
 
     def flush() -> None:
         if buffer:
-            text = _SPACE.sub(" ", "".join(buffer)).strip(" ")
+            text = _SPACE.sub(" ", "".join(buffer)).strip()
             buffer.clear()
             if text:
-                out.append((text, stack[-1][1] if stack else False, stack[-1][2] if stack else False))
+                out.append((text, stack[-1][1] if stack else False, stack[-1][2] if stack else 0))
 
     def pop_to(k: int) -> None:
         while len(stack) > k:
@@ -138,10 +155,11 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
                     pop_to(len(stack) - 1)
         if not inline:
             flush()
-        above = stack[-1] if stack else ("", False, False)
+        above = stack[-1] if stack else ("", False, 0)
         # A header inside an article is the article's own (its title); elsewhere it is the page's.
         header = tag == "header" and not above[2]
-        furniture = above[1] or header or _is_furniture(tag, raw)
+        outright, suspect = _is_furniture(tag, raw, bool(above[2]))
+        furniture = above[1] or header or outright
         if inline and furniture and not above[1]:
             # An inline element hidden or marked as an advert: a block of its own.
             flush()
@@ -154,13 +172,13 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
         if inline and furniture and not above[1]:
             stack.append((f"{tag}", True, above[2]))
             continue
-        stack.append((tag, furniture, above[2] or tag in MAIN))
+        stack.append((tag, furniture, max(above[2], int(tag in MAIN), 2 * (suspect and above[2] > 0))))
     pop_to(0)
     flush()
     return out
 
 
-def line_hashes(blocks: list[tuple[str, bool, bool]]) -> np.ndarray:
+def line_hashes(blocks: list[tuple[str, bool, int]]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(t.encode()) for t, _, _ in blocks], np.uint64)
 
 
@@ -168,7 +186,7 @@ def line_hashes(blocks: list[tuple[str, bool, bool]]) -> np.ndarray:
 NEARLY = 0.9
 
 
-def packed_lines(blocks: list[tuple[str, bool, bool]]) -> bytes:
+def packed_lines(blocks: list[tuple[str, bool, int]]) -> bytes:
     """Line hashes, then each line's characters, 0 in furniture."""
     return line_hashes(blocks).tobytes() + np.array([0 if furniture else len(t) for t, furniture, _ in blocks], np.uint32).tobytes()
 
@@ -260,7 +278,8 @@ def neighbours(parts: DataFrame) -> DataFrame:
     and the pages at the edges of ranges meet those of the next range in a small join."""
     order = ["host", "path", "url", "page_id", "page_sha"]
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = stage(parts.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "ranges")
+    # written first: sampling the ranges would cut every page a second time
+    ranged = stage(stage(parts, "lines").repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "ranges")
     from pyspark.sql import Window
 
     within = Window.partitionBy("range").orderBy("place")
@@ -277,37 +296,39 @@ def neighbours(parts: DataFrame) -> DataFrame:
     )
 
 
-_BLOCKS = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("page_sha", T.LongType()), T.StructField("marked", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("places", T.BinaryType())])
+_BLOCKS = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("page_sha", T.LongType()), T.StructField("text", T.StringType()), T.StructField("places", T.BinaryType())])
 TEXTS = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_shared_lines", T.LongType())])
 
 
-def candidates(page: str) -> tuple[bool, list[tuple[int, str]], int]:
-    """Whether markup names the article, the blocks that may be of it with their
-    places, and the number of blocks. With an article or main element that has text:
-    its blocks; else all blocks. Furniture never counts."""
+def candidates(page: str) -> tuple[list[tuple[int, str, bool]], int]:
+    """The blocks that may be of the article with their places, and whether differencing
+    decides on them; and the number of blocks. With an article or main element that has
+    text: its blocks, of which markup leaves the suspect ones open; else all blocks, all
+    open. Furniture never counts."""
     blocks = blocks_of(page)
-    inside = [(k, t) for k, (t, furniture, main) in enumerate(blocks) if main and not furniture]
-    return bool(inside), inside or [(k, t) for k, (t, furniture, _) in enumerate(blocks) if not furniture], len(blocks)
+    inside = [(k, t, place == 2) for k, (t, furniture, place) in enumerate(blocks) if place and not furniture]
+    return inside or [(k, t, True) for k, (t, furniture, _) in enumerate(blocks) if not furniture], len(blocks)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for page in batch.column(3).to_pylist():
-            marked, kept, n = candidates(page or "")
-            rows.append((marked, "\n\n".join(t for _, t in kept), np.array([n, *(k for k, _ in kept)], "<i4").tobytes()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], _BLOCKS.names)
+            kept, n = candidates(page or "")
+            # places of blocks on which markup has decided are written as -1
+            rows.append(("\n\n".join(t for _, t, _ in kept), np.array([n, *(k if undecided else -1 for k, _, undecided in kept)], "<i4").tobytes()))
+        cols = list(zip(*rows, strict=True)) or [[]] * 2
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary())], _BLOCKS.names)
 
 
 def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deletes shared lines where markup doesn't name the article."""
+    """Deletes shared lines on which markup has not decided."""
     for batch in batches:
         texts, lines, common = [], [], []
-        for marked, text, places, shared, gone in zip(*(batch.column(c).to_pylist() for c in ("marked", "text", "places", "shared", "gone")), strict=True):
+        for text, places, shared, gone in zip(*(batch.column(c).to_pylist() for c in ("text", "places", "shared", "gone")), strict=True):
             places = np.frombuffer(places, "<i4")
             drop = set(np.frombuffer(gone, "<i4").tolist()) if gone else set()
-            if drop and not marked and text:
+            if drop and text:
                 text = "\n\n".join(t for t, k in zip(text.split("\n\n"), places[1:].tolist(), strict=True) if k not in drop)
             texts.append(text)
             lines.append(int(places[0]))
@@ -319,8 +340,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, lines of the page and lines that a neighbour shares,
     of each row of pages (page_id, url, html)."""
     pages = pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "xxhash64(html) page_sha", "cast(html as string) html")
-    shared = neighbours(pages.mapInArrow(_describe, _PARTS)).mapInArrow(_compare, _SHARED)
+    shared = neighbours(pages.mapInArrow(tidy(_describe), _PARTS)).mapInArrow(tidy(_compare), _SHARED)
     # Repeated rows are neighbours of each other; one of their lists stands for all.
     shared = shared.groupBy("page_id", "url", "page_sha").agg(F.max("shared").alias("shared"), F.max("gone").alias("gone")).withColumnsRenamed({"page_id": "p", "url": "u", "page_sha": "h"})
-    joined = pages.mapInArrow(_cut, _BLOCKS).join(shared, F.expr("page_id <=> p and url <=> u and page_sha = h"), "left")
-    return joined.select("page_id", "url", "marked", "text", "places", "shared", "gone").mapInArrow(_delete, TEXTS)
+    joined = pages.mapInArrow(tidy(_cut), _BLOCKS).join(shared, F.expr("page_id <=> p and url <=> u and page_sha = h"), "left")
+    return joined.select("page_id", "url", "text", "places", "shared", "gone").mapInArrow(tidy(_delete), TEXTS)
