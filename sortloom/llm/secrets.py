@@ -6,9 +6,15 @@ it: the value is segmented into dictionary words (the words of two public vocabu
 ranked as these rank them, after a few that guessers try first), dates, repeats, keyboard walks and
 brute-force stretches, each with a cost in bits, and dynamic programming finds the
 segmentation of least cost. A value of at least ``GUESS_BITS`` bits is a secret and
-gives a span of kind ``guess``, unless a base span already covers it.
-
-Edge cases: null and empty texts have no spans; offsets are code points of the text.
+gives a span of kind ``guess``; base spans stay, whatever their values cost. So of two
+assignments that the patterns find alike, only the one whose value is hard to guess has a
+guess span.
+
+Edge cases: null and empty texts have no spans; offsets are code points of the text. A
+very long text or value is judged whole, in steps in proportion to its length. Equal texts
+have equal spans, repeated rows give repeated rows; spans that begin together are in the
+order of KINDS. An empty table gives an empty result. Of other columns none is read;
+redact_documents gives them back unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import tidy
+
 GUESS_BITS = 30.0
-MAX_VALUE = 128
 KINDS = ("assign", "access", "hex", "guess")
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -49,7 +56,11 @@ LEAST_LETTERS = 4
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 # Rows of a keyboard and of the alphabet.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0987654321", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik9ol0p")
-NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {(b, a) for row in ROWS for a, b in zip(row, row[1:], strict=False)}
+#: Neighbouring keys: the rows they stand on, and 1 or -1 for the direction.
+NEXT = {
+    pair: frozenset((k, way) for k, row in enumerate(ROWS) for way, keys in ((1, row), (-1, row[::-1])) if "".join(pair) in keys)
+    for row in ROWS for a, b in zip(row, row[1:], strict=False) for pair in ((a, b), (b, a))
+}
 DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
 YEAR_BITS, DAY_BITS = math.log2(130), math.log2(365)
 
@@ -84,49 +95,62 @@ def _alphabet(value: str) -> float:
     return math.log2(max(size, 10))
 
 
-@lru_cache(50_000)
+def _steps(a: str, b: str) -> frozenset[tuple[int, int]]:
+    """Rows, with the direction, on which b stands next to a."""
+    return NEXT.get((a, b), frozenset())
+
+
 def guess_bits(value: str) -> float:
-    """Bits to guess a value by its cheapest segmentation. A value over MAX_VALUE
-    characters is judged by windows of that length, costs added."""
-    if len(value) > MAX_VALUE:
-        return sum(guess_bits(value[i : i + MAX_VALUE]) for i in range(0, len(value), MAX_VALUE))
+    """Bits to guess a value by its cheapest segmentation, whatever its length: each kind
+    of segment is relaxed in a bounded number of steps a character.
+
+    A repeat of a unit costs the unit and how often it may stand in the value; a walk
+    costs its first key, its length, and two bits for each change of direction."""
     n, each, low = len(value), _alphabet(value), value.lower()
     plain = low.translate(LEET)
+    if len(low) != n or not n:  # a letter that grows in lower case: no word, date, repeat or walk is looked for
+        return each * n
     ranks, longest = _ranks()
     best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        for j in range(i + 4, min(n, i + 10) + 1):
-            if DATE.fullmatch(value, i, j):
-                dates.setdefault(i, []).append(j)
-    for i in range(n):
-        at = best[i] + (1.0 if i else 0.0)  # where a segment begins has to be guessed too
-        # brute force, of any length
-        for j in range(i + 1, n + 1):
-            best[j] = min(best[j], at + each * (j - i))
-        # dictionary words, upper case and substitutions costing a little more
-        for j in range(i + 3, min(n, i + longest) + 1):
-            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
-            if rank:
-                upper = sum(c.isupper() for c in value[i:j])
-                swaps = sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True)) if low[i:j] not in ranks else 0
-                variants = (1.0 if upper in (1, j - i) else math.log2(math.comb(j - i, upper) + 1)) if upper else 0.0
-                best[j] = min(best[j], at + math.log2(rank) + variants + swaps + 1)
-        for j in dates.get(i, ()):
-            best[j] = min(best[j], at + YEAR_BITS + (DAY_BITS + 2 if j - i > 4 else 0))
-        # repeats of a unit of 1 to 8 characters
-        for unit in range(1, min(8, (n - i) // 2) + 1):
-            j = i + unit
-            while low[j : j + unit] == low[i : i + unit]:
-                j += unit
-                best[j] = min(best[j], at + each * unit + math.log2((j - i) // unit))
-        # keyboard and alphabet walks
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in NEXT:
-            j += 1
-            if j - i >= 3:
-                turns = sum((low[k - 1], low[k]) == (low[k], low[k - 1]) for k in range(i + 1, j))
-                best[j] = min(best[j], at + math.log2(47 * (j - i)) + 1 + 2 * turns)
+    brute = [math.inf] * (n + 1)
+    walk = [math.inf] * (n + 1)
+    units = [u for u in range(1, 9) if 2 * u <= n]
+    again = {u: [math.inf] * (n + 1) for u in units}
+    walk_bits = math.log2(47 * max(3, n)) + 1
+
+    def start(i: int) -> float:
+        return best[i] + (1.0 if i else 0.0)  # where a segment begins has to be guessed too
+
+    for j in range(1, n + 1):
+        # segments that end at j and are told by their last characters
+        brute[j] = min(brute[j - 1], start(j - 1)) + each
+        found = min(best[j], brute[j])
+        for u in units:
+            if 2 * u <= j and low[j - u : j] == low[j - 2 * u : j - u]:
+                again[u][j] = min(again[u][j - u], start(j - 2 * u) + each * u + math.log2(max(2, n // u)))
+                found = min(found, again[u][j])
+        if j >= 3:
+            step, before = _steps(low[j - 2], low[j - 1]), _steps(low[j - 3], low[j - 2])
+            if step and before:
+                turn = 0.0 if step & before else 2.0
+                walk[j] = min(walk[j - 1], start(j - 3) + walk_bits) + turn
+                found = min(found, walk[j])
+        best[j] = found
+        # segments that begin at j - 1 or, for the first character, at 0
+        for i in (j,) if j > 1 else (0, 1):
+            at = start(i)
+            if value[i : i + 1].isdigit():
+                for k in range(i + 4, min(n, i + 10) + 1):
+                    if DATE.fullmatch(value, i, k):
+                        best[k] = min(best[k], at + YEAR_BITS + (DAY_BITS + 2 if k - i > 4 else 0))
+            # dictionary words, upper case and substitutions costing a little more
+            for k in range(i + 3, min(n, i + longest) + 1):
+                rank = ranks.get(low[i:k]) or ranks.get(plain[i:k])
+                if rank:
+                    upper = sum(c.isupper() for c in value[i:k])
+                    swaps = sum(a != b for a, b in zip(low[i:k], plain[i:k], strict=True)) if low[i:k] not in ranks else 0
+                    variants = (1.0 if upper in (1, k - i) else math.log2(math.comb(k - i, upper) + 1)) if upper else 0.0
+                    best[k] = min(best[k], at + math.log2(rank) + variants + swaps + 1)
     return best[n]
 
 
@@ -146,7 +170,7 @@ def scan(text: str, bits: float = GUESS_BITS) -> tuple[list[tuple[int, int, int]
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:)]}>")
             a, b = m.start(1), m.start(1) + len(value)
-            if len(value) >= 6 and not any(s <= a and b <= e for s, _, e in base) and guess_bits(value) >= bits:
+            if len(value) >= 6 and guess_bits(value) >= bits:
                 spans.append((a, 3, b))
         spans.sort()
     return base, spans
@@ -171,7 +195,7 @@ def find_secrets(docs: DataFrame, bits: float = GUESS_BITS) -> DataFrame:
             counts = [pa.array([sum(s[1] == k for s in spans) for _, spans in found], pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b, _ in found], pa.string()), pa.array([written(s) for _, s in found], pa.string())], SCHEMA.names)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), SCHEMA)
 
 
 PLACEHOLDER = "[SECRET]"
@@ -207,4 +231,4 @@ def redact_documents(docs: DataFrame, bits: float = GUESS_BITS) -> DataFrame:
                 cols[k] = pa.array([n if a == b else len(b) for a, b, n in zip(old, new, cols[k].to_pylist(), strict=True)], cols[k].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
