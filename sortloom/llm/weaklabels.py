@@ -9,9 +9,15 @@ linear scorer on hashed features, and the scorer judges every text.
 The label model covers all texts. The scorer is fitted on ``TRAIN_ROWS`` rows, those of
 least hash of id and text, so reruns agree and no order of rows matters.
 
-Edge cases: a text of fewer than ``SHORT_WORDS`` words shows too little to score; its
-posterior judges it. A null text, or one without words, is rejected. With no rows at all
-nothing is trained and the result is empty. Repeated rows get equal scores.
+The scorer judges texts of every length; a feature counts by the share of evidence that a
+text of its length gives, characters / (characters + ``DOUBT``), so short texts stay near
+the middle, where nothing speaks against them.
+
+Edge cases: a null text, or one without words, is rejected. Very long texts are measured
+and scored whole. With no rows at all nothing is trained and the result is empty. Repeated
+rows get equal scores; of rows that tie at the end of the sample, equal in id and text, one
+is taken. Rows without a doc_id are judged like others. Of other columns none is read;
+keep_good gives them back unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, mix
+from .common import WordHashes, mix, stage, tidy
 
-TRAIN_ROWS, DIMENSIONS, THRESHOLD = 4_000, 1 << 15, 0.35
-SHORT_WORDS = 5
+TRAIN_ROWS, DIMENSIONS, THRESHOLD = 4_000, 1 << 15, 0.5
+#: Characters at which a text's features count half.
+DOUBT = 60
+#: What a labeller says good of, of good texts, before anything is seen; and how many corpora
+#: that counts as.
+PRIOR_GOOD, PRIOR_WEIGHT = 0.998, 5.0
 SYMBOLS = "#*$%&|<>"
 
 
@@ -90,15 +100,17 @@ class LabelModel:
     """Class shares, and each labeller's chance of voting good in each class, by
     expectation-maximisation; labellers are independent given the class, and no vote
     says nothing. A labeller looks for one fault and misses others, but seldom blames a
-    good text: it starts from calling 0.85 of bad and 0.998 of good texts good, and never
-    calls less than 0.998 of good texts good. That keeps the classes' meaning; without it
-    the likelihood has other maxima, such as one class for each kind of fault."""
+    good text: it starts from calling 0.85 of bad and PRIOR_GOOD of good texts good, and the
+    latter is a prior that weighs PRIOR_WEIGHT times the corpus. That keeps the classes'
+    meaning; without it the likelihood has other maxima, such as one class for each kind of
+    fault."""
 
     def __init__(self, counts: dict[int, int], rounds: int = 200):
         table = np.array([votes_of(p) for p in counts] or np.zeros((0, len(LABELLERS)), int)).reshape(-1, len(LABELLERS))
         weight = np.array(list(counts.values()), float)
         self.good = 0.8
-        self.says_good = np.tile([[0.85], [0.998]], (1, len(LABELLERS)))  # by class: bad, good
+        self.says_good = np.tile([[0.85], [PRIOR_GOOD]], (1, len(LABELLERS)))  # by class: bad, good
+        prior = PRIOR_WEIGHT * weight.sum()
         for _ in range(rounds if len(weight) else 0):
             p = self._posterior(table)
             old = self.says_good.copy()
@@ -106,8 +118,7 @@ class LabelModel:
             for c, q in ((0, 1 - p), (1, p)):
                 w = (weight * q)[:, None]
                 up, any_ = (w * (table == 1)).sum(0), (w * (table >= 0)).sum(0)
-                self.says_good[c] = (up + (1.0 if c == 0 else 19.0)) / (any_ + (2.0 if c == 0 else 20.0))
-            self.says_good[1] = np.maximum(self.says_good[1], 0.998)
+                self.says_good[c] = (up + 1) / (any_ + 2) if c == 0 else (up + PRIOR_GOOD * prior) / (any_ + prior)
             if np.abs(old - self.says_good).max() < 1e-9:
                 break
 
@@ -129,7 +140,7 @@ for _bytes, _c in ((range(65, 91), 0), (range(97, 123), 1), (range(128, 256), 2)
 
 
 class Hasher:
-    """Hashed features: runs of three byte classes, and per word whether it was seen
+    """Hashed features: words; runs of three byte classes; and per word whether it was seen
     before in the text, whether it repeats its neighbour, and its length."""
 
     def __init__(self, dimensions: int = DIMENSIONS):
@@ -144,7 +155,7 @@ class Hasher:
         words = data.split()
         h = self.words.of(words)
         if len(h):
-            _, first = np.unique(h, return_index=True)
+            different, first, often = np.unique(h, return_index=True, return_counts=True)
             again = np.ones(len(h), np.int64)
             again[first] = 0
             echo = np.concatenate(([0], (h[1:] == h[:-1]).astype(np.int64)))
@@ -154,7 +165,10 @@ class Hasher:
             codes.append(np.zeros(32, np.int64))
         shares = np.concatenate([x / max(1, x.sum()) for x in codes])
         at = np.flatnonzero(shares)
-        return (mix(at.astype(np.uint64) + np.uint64(77)) % np.uint64(self.dimensions)).astype(np.int64), np.sqrt(shares[at])
+        keys, values = at.astype(np.uint64) + np.uint64(77), shares[at]
+        if len(h):
+            keys, values = np.concatenate((keys, different)), np.concatenate((values, often / len(h)))
+        return (mix(keys) % np.uint64(self.dimensions)).astype(np.int64), np.sqrt(values) * (len(data) / (len(data) + DOUBT))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, dimensions: int = DIMENSIONS, rounds: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -185,14 +199,12 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Posteriors by pattern, and the scorer's weights and intercept."""
-    from .common import stage
-
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([pattern_of(votes(t or "")) for t in batch.column(0).to_pylist()], pa.int32())], ["h", "pattern"])
 
     hashed = _texts(docs).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    voted = stage(hashed.mapInArrow(vote, "h long, pattern int"), "votes")
+    voted = stage(hashed.mapInArrow(tidy(vote), "h long, pattern int"), "votes")
     # At most 3 ** labellers rows.
     posterior = LabelModel({r.pattern: r.n for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()}).table()
     least = [r.h for r in voted.select("h").orderBy("h").limit(train_rows).collect()]
@@ -206,7 +218,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.n
 
     if not least:
         return posterior, *train([], np.zeros(0))
-    sample = hashed.where(F.col("h") <= least[-1]).mapInArrow(describe, "h long, pattern int, at binary, value binary").dropDuplicates(["h"]).orderBy("h").limit(train_rows).collect()
+    sample = hashed.where(F.col("h") <= least[-1]).mapInArrow(tidy(describe), "h long, pattern int, at binary, value binary").dropDuplicates(["h"]).orderBy("h").limit(train_rows).collect()
     rows = [(np.frombuffer(r["at"], "<i8"), np.frombuffer(r["value"], float)) for r in sample]
     return posterior, *train(rows, posterior[[r.pattern for r in sample]])
 
@@ -224,7 +236,7 @@ def _judge(batches, posterior: np.ndarray, weights: np.ndarray, bias: float, thr
             at, value = hasher(t)
             scores.append(round(float(1 / (1 + np.exp(-np.clip(weights[at] @ value + bias, -30, 30)))), 9))
         sizes = [len(t.split()) for t in texts]
-        kept = [n > 0 and (float(posterior[p]) if n < SHORT_WORDS else s) >= threshold for n, p, s in zip(sizes, patterns, scores, strict=True)]
+        kept = [n > 0 and s >= threshold for n, s in zip(sizes, scores, strict=True)]
         yield batch, patterns, [float(posterior[p]) for p in patterns], scores, kept
 
 
@@ -236,7 +248,7 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = T
         for batch, *cols in _judge(batches, *model, threshold):
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], ["doc_id", *SCHEMA.names])
 
-    return _texts(docs).mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), *SCHEMA.fields]))
+    return _texts(docs).mapInArrow(tidy(run), T.StructType([T.StructField("doc_id", T.LongType()), *SCHEMA.fields]))
 
 
 def keep_good(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -247,4 +259,4 @@ def keep_good(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float =
         for batch, *_, kept in _judge(batches, *model, threshold):
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
