@@ -33,9 +33,13 @@ On a cluster the lists are split over the short and the long side as follows.
 Two documents of one component need no link of their own: the result is the component
 of each document. Every set is searched, and no list, partner or candidate is capped.
 
-A doc_id names a document: rows that share an id but not a text are one node.
+A doc_id names a document: rows that share an id but not a text are one node, which links
+where any of its sets does.
 
-Edge cases: a null text, or one without words, has an empty set and is linked with
+Edge cases: an empty table gives an empty result. Very long texts are whole sets, their
+candidates searched in blocks; equal sizes and places are ordered by class, which changes no
+link. Of other columns none is read, so names that clash with the result's do no harm.
+Further: a null text, or one without words, has an empty set and is linked with
 nothing; its component is its own doc_id. A text of fewer words than a shingle has one
 shingle, all its words. Repeated rows are one class. A row with a null doc_id counts
 like others, but a class of such rows only has a null component.
@@ -54,13 +58,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WordHashes, bucket_of, buckets_for, cuts, gram_hashes, mix, multipliers, runs_of, squeeze, squeeze_sorted, stage, unsqueeze, unsqueeze_sorted, utf8
+from .common import LOWER, WordHashes, bitmap, bucket_of, buckets_for, cell_of, cuts, gram_hashes, mix, multipliers, runs_of, sift, squeeze, squeeze_sorted, stage, tidy, unsqueeze, unsqueeze_sorted, unstage, utf8
 
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch of list lengths: a fixed 8 MB, whatever the corpus.
 SKETCH_BITS, SKETCH_SLICES = 23, 128
 #: Classes of at least one in so many rows are joined by broadcast, for the last join.
 HOT_CLASSES = 1_000
+#: Candidates of a query that a task gets at once, about.
+CANDIDATES = 256
+#: Long lists that are probed before sets that can't reach the overlap are dropped.
+PROBED = 64
 
 
 def shingle_set(words: np.ndarray, k: int = WORDS) -> np.ndarray:
@@ -136,7 +144,7 @@ def levels_of(first: DataFrame) -> np.ndarray:
     sliced = first.where("slice is not null").select("slice", "counts").repartition(F.col("slice")).sortWithinPartitions("slice")
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     width = len(out) // SKETCH_SLICES
-    for r in sliced.mapInArrow(_add_slices, "slice int, counts binary").collect():
+    for r in sliced.mapInArrow(tidy(_add_slices), "slice int, counts binary").collect():
         out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
     return out
 
@@ -339,17 +347,17 @@ def _across(percent: int):
 
 
 # ---------------------------------------------------------------- 4. exact search
-def divide_skip(query: np.ndarray, sets: list[np.ndarray], least: np.ndarray, long_share: float = 0.5) -> np.ndarray:
+def divide_skip(query: np.ndarray, sets: list[np.ndarray], least: np.ndarray, long_share: float = 1.0) -> np.ndarray:
     """Which of the sets share at least ``least`` (one each) values with the query.
 
     Inverted lists over the query's values hold the places of the sets. The longest,
-    at most long_share of the least required overlap, are long: they are probed by
-    binary search, and only for sets that the others brought close enough."""
+    at most long_share of the least required overlap less one, are long: the others are
+    merged with a heap, and the long ones are probed by binary search, PROBED lists at a
+    time, only for sets that the lists before brought close enough."""
     m = len(sets)
     if not m:
         return np.empty(0, bool)
-    sizes = [len(s) for s in sets]
-    values, owners = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    values, owners = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
     at = np.searchsorted(query, values)
     hit = at < len(query)
     hit[hit] = query[at[hit]] == values[hit]
@@ -357,55 +365,72 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], least: np.ndarray, lo
     order = np.lexsort((owners, at))
     at, owners = at[order], owners[order]
     edges = cuts(at)
-    lists = [owners[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)] if len(at) else []
-    lists.sort(key=len)
-    n_long = min(len(lists), int(long_share * max(0, int(least.min()) - 1)))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    counts = np.zeros(m, np.int64)
-    if len(short) <= 64:
-        for place in heapq.merge(*(x.tolist() for x in short)):
-            counts[place] += 1
-    else:  # the same merge, of many lists at once
-        counts += np.bincount(np.concatenate(short), minlength=m)
+    lengths = np.diff(edges)
+    by_length = np.argsort(lengths, kind="stable")
+    n_long = min(len(by_length), int(long_share * max(0, int(least.min()) - 1)))
+    short, long = by_length[: len(by_length) - n_long], by_length[len(by_length) - n_long :]
+    merged = [0] * m
+    for place in heapq.merge(*(owners[edges[i] : edges[i + 1]].tolist() for i in short.tolist())):
+        merged[place] += 1
+    counts = np.array(merged)
     alive = np.flatnonzero(counts >= least - n_long)
-    for left, x in zip(range(n_long - 1, -1, -1), long, strict=True):
+    for first in range(0, n_long, PROBED):
         if not len(alive):
             break
-        k = np.searchsorted(x, alive)
-        k[k == len(x)] = 0
-        counts[alive] += x[k] == alive
-        alive = alive[counts[alive] >= least[alive] - left]
+        probed = long[first : first + PROBED]
+        # the lists one after another, each place raised by m for every list before it
+        raised = np.concatenate([owners[edges[i] : edges[i + 1]] + k * m for k, i in enumerate(probed.tolist())])
+        wanted = (np.arange(len(probed))[:, None] * m + alive).reshape(-1)
+        k = np.minimum(np.searchsorted(raised, wanted), len(raised) - 1)
+        counts[alive] += (raised[k] == wanted).reshape(len(probed), -1).sum(0)
+        alive = alive[counts[alive] >= least[alive] - (n_long - first - len(probed))]
     out = np.zeros(m, bool)
     out[alive] = True
     return out
 
 
 def _search(percent: int):
-    """Rows (query class, kind, class, set): the query's own set (kind 0), then its
-    candidates' sets. Candidates are searched in blocks, so memory has a bound."""
+    """Rows (query class, part, kind, class, set): the query's own sets (kind 0; more than
+    one if rows share its doc_id but not a text), then its candidates' sets. Candidates are
+    searched in blocks, so memory has a bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, parts in runs_of(batches, "a"):
-            query = None
-            links: list[int] = []
+            queries: list[np.ndarray] = []
+            links: set[int] = set()
+            asked = False
             for part in parts:
                 kinds, others, sets = part.column("kind").to_pylist(), part.column("b").to_pylist(), part.column("shingles").to_pylist()
-                start = 0
-                if query is None:
-                    query, start = np.frombuffer(sets[0], np.uint64), 1
-                    if kinds[0] != 0:
+                i = 0
+                while i < len(sets):
+                    if kinds[i] == 0:
+                        if asked:  # the next part of the same query
+                            queries, asked = [], False
+                        queries.append(np.frombuffer(sets[i], np.uint64))
+                        i += 1
+                        continue
+                    if not queries:
                         raise ValueError("a query lacks its set")
-                for i in range(start, len(sets), 256):
-                    block = [np.frombuffer(s, np.uint64) for s in sets[i : i + 256]]
-                    least = overlap_needed(len(query), np.array([len(s) for s in block]), percent)
-                    hit = divide_skip(query, block, least)
-                    links += [b for b, ok in zip(others[i : i + 256], hit, strict=True) if ok]
+                    asked = True
+                    end = next((j for j in range(i, min(i + 256, len(sets))) if kinds[j] == 0), min(i + 256, len(sets)))
+                    block = [np.frombuffer(s, np.uint64) for s in sets[i:end]]
+                    for query in queries:
+                        least = overlap_needed(len(query), np.array([len(s) for s in block]), percent)
+                        links.update(b for b, ok in zip(others[i:end], divide_skip(query, block, least), strict=True) if ok)
+                    i = end
+                if len(links) > 100_000:
+                    yield _linked(a, links)
+                    links.clear()
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([a] * len(links), pa.int64()), pa.array(links, pa.int64())], _PAIRS.names)
+                yield _linked(a, links)
 
     return run
 
 
+def _linked(a: int, links: set[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a] * len(links), pa.int64()), pa.array(sorted(links), pa.int64())], _PAIRS.names)
+
+
 _SET = T.StructType([T.StructField("class", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
 
@@ -416,41 +441,10 @@ class _Texts:
         self.docs, self.k = docs, k
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """class, shingles of wanted (class). A fixed-size bitmap of the wanted keeps most
+        """class, shingles of wanted (class), a row for each text. A fixed-size bitmap of the wanted keeps most
         other texts out of the join; what it lets pass, the join drops."""
-        spark, k, bits = wanted.sparkSession, self.k, SKETCH_BITS
-        cells = wanted.select(F.pmod(F.xxhash64("class"), F.lit(1 << bits)).cast("int").alias("cell"))
-
-        def mark(batches):
-            seen = np.zeros(1 << bits, bool)
-            for batch in batches:
-                seen[batch.column(0).to_numpy()] = True
-            packed = np.packbits(seen)
-            width = len(packed) // SKETCH_SLICES
-            for i in range(SKETCH_SLICES):
-                if packed[i * width : (i + 1) * width].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed[i * width : (i + 1) * width].tobytes()], pa.binary())], ["slice", "bits"])
-
-        def unite(batches):
-            for number, parts in runs_of(batches, "slice"):
-                total = None
-                for part in parts:
-                    for data in part.column("bits").to_pylist():
-                        x = np.frombuffer(data, np.uint8)
-                        total = x if total is None else total | x
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "bits"])
-
-        bitmap = np.zeros((1 << bits) // 8, np.uint8)
-        width = len(bitmap) // SKETCH_SLICES
-        for r in cells.mapInArrow(mark, "slice int, bits binary").repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(unite, "slice int, bits binary").collect():
-            bitmap[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-        shared = spark.sparkContext.broadcast(bitmap.tobytes())
-
-        def sift(batches):
-            seen = np.frombuffer(shared.value, np.uint8)
-            for batch in batches:
-                cell = batch.column("cell").to_numpy()
-                yield batch.filter(pa.array((seen[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1)).select(["class", "text"])
+        spark, k = wanted.sparkSession, self.k
+        shared = spark.sparkContext.broadcast(bitmap(wanted.select(cell_of("class"))))
 
         def read(batches):
             hashes = WordHashes()
@@ -459,21 +453,27 @@ class _Texts:
                     part = batch.slice(i, 500)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in _sets(utf8(part.column(1)), hashes, k)], pa.binary())], _SET.names)
 
-        rows = self.docs.select(F.col("doc_id").alias("class"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).cast("int").alias("cell")).where("class is not null")
-        # rows that repeat an id stand once, by the least of their texts
-        found = rows.mapInArrow(sift, "class long, text string").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("text").alias("text"))
-        return found.mapInArrow(read, _SET)
+        rows = self.docs.select(F.col("doc_id").alias("class"), "text", cell_of("doc_id")).where("class is not null")
+        # of rows that share an id, each different text has its set
+        found = rows.mapInArrow(tidy(sift(shared, True)), "class long, text string").join(wanted, "class", "left_semi").dropDuplicates(["class", "text"])
+        return found.mapInArrow(tidy(read), _SET)
 
 
 def exact_links(pairs: DataFrame, texts: _Texts, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) that link."""
+    """The pairs (a, b) that link. A query's candidates are dealt over tasks in parts of
+    about CANDIDATES, each with the query's own set: the hub of a large group of near copies
+    is the query of many."""
     pairs = stage(pairs.distinct(), f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     sets = stage(texts.sets(wanted), f"{name}-sets")
-    own = pairs.select("a").distinct().join(sets.withColumnRenamed("class", "a"), "a").select("a", F.lit(0).alias("kind"), F.col("a").alias("b"), "shingles")
-    others = pairs.join(sets.withColumnRenamed("class", "b"), "b").select("a", F.lit(1).alias("kind"), "b", "shingles")
-    asked = own.unionByName(others).repartition(F.col("a")).sortWithinPartitions("a", "kind", "b")
-    return stage(asked.mapInArrow(_search(percent), _PAIRS), f"{name}-links")
+    parts = pairs.groupBy("a").agg((F.expr(f"count(*) div {CANDIDATES}") + 1).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    own = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("class", "a"), "a").select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "shingles")
+    others = dealt.join(sets.withColumnRenamed("class", "b"), "b").select("a", "part", F.lit(1).alias("kind"), "b", "shingles")
+    asked = own.unionByName(others).repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "kind", "b")
+    links = stage(asked.mapInArrow(tidy(_search(percent)), _PAIRS), f"{name}-links")
+    unstage(pairs, sets)
+    return links
 
 
 # ---------------------------------------------------------------- components
@@ -488,8 +488,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = stage(small, "edges")
+        last, edges = edges, stage(small, "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        unstage(last)
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
         before = now
@@ -500,29 +501,30 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    first = stage(docs.mapInArrow(_first_pass(words), _FIRST), "sets")
+    first = stage(docs.mapInArrow(tidy(_first_pass(words)), _FIRST), "sets")
     rows = first.where("slice is null").select("doc_id", "n", "digest")
     levels = spark.sparkContext.broadcast(levels_of(first).tobytes())
 
     # classes of equal sets, named by their least doc_id
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
-    short = docs.select("text").mapInArrow(_short_sides(levels, words, percent), _SHORT).groupBy("digest").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("short").alias("short"))
+    short = docs.select("text").mapInArrow(tidy(_short_sides(levels, words, percent)), _SHORT).groupBy("digest").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("short").alias("short"))
     short = stage(short.join(classes.where("class is not null"), "digest").select("class", "n", "parity", "short"), "short")
 
     buckets = buckets_for(docs)
 
     def lists(sides: DataFrame) -> DataFrame:
-        return sides.mapInArrow(_post(buckets), _POSTED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        return sides.mapInArrow(tidy(_post(buckets)), _POSTED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     texts = _Texts(docs, words)
-    near = exact_links(lists(short.withColumn("grp", F.col("class"))).mapInArrow(_chain_and_star(percent), _PAIRS), texts, percent, "near")
+    near = exact_links(lists(short.withColumn("grp", F.col("class"))).mapInArrow(tidy(_chain_and_star(percent)), _PAIRS), texts, percent, "near")
     groups = stage(components(spark, near), "groups")
     grouped = short.join(groups.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "parity", "short", F.coalesce("component", "class").alias("grp"))
-    far = exact_links(lists(grouped).mapInArrow(_across(percent), _PAIRS), texts, percent, "far")
+    far = exact_links(lists(grouped).mapInArrow(tidy(_across(percent)), _PAIRS), texts, percent, "far")
     joined = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)
     final = components(spark, joined).withColumnRenamed("node", "class")
 
     named = stage(classes.join(final, "class", "left").select("digest", "copies", F.coalesce("component", "class").alias("component_id")), "named")
+    unstage(short, near, groups, far)
     # a digest of at least 1 / HOT_CLASSES of the rows does not go through a shuffle:
     # there are at most HOT_CLASSES such digests, whatever the corpus
     often = F.col("copies") * HOT_CLASSES >= rows.count()
@@ -535,7 +537,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stand for their component: those whose doc_id is its least
-    (rows without a doc_id, or without words, stay). All columns as they are."""
+    (rows without a doc_id, or without words, stay). Rows that repeat both doc_id and text
+    are one document: one of them stays. Rows that share an id but not a text stay or go
+    together. All columns as they are, in their order."""
+    spark = docs.sparkSession
     found = near_duplicates(docs, words, percent)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    row = F.xxhash64("doc_id", "text")
+    again = docs.groupBy(row.alias("row")).agg(F.count("*").alias("n")).where("n > 1")
+    # Only rows that two fixed-size bitmaps mark can go; the others need no join.
+    shared = spark.sparkContext.broadcast(bitmap(gone.select(cell_of("__gone")).unionByName(again.select(cell_of("row")))))
+    cells = docs.select("*", cell_of("doc_id", "__a"), cell_of(row, "__b"))
+    stay = cells.mapInArrow(tidy(sift(shared, False, 2)), docs.schema)
+    doubted = cells.mapInArrow(tidy(sift(shared, True, 2)), docs.schema).dropDuplicates(["doc_id", "text"])
+    return stay.unionByName(doubted.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns))

@@ -97,11 +97,26 @@ def test_op1(docs, rows, none, monkeypatch, hot):
     got = shingles.near_duplicates(docs).collect()
     assert len(got) == len(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == expected
-    kept = {r.doc_id for r in shingles.one_of_each(docs).collect()}
-    assert kept == {None} | {d for d, (_, c) in expected.items() if c == d}
     assert shingles.near_duplicates(none).count() == 0
 
 
+def test_op1_one_of_each(docs, rows, none):
+    expected = components([(r[0], r[1]) for r in rows if r[0] is not None])
+    kept = shingles.one_of_each(docs.select("lang", "doc_id", *[c for c in docs.columns if c not in ("lang", "doc_id")]))
+    assert kept.columns[:2] == ["lang", "doc_id"]
+    # a repeated row is one document: one of it stays
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([None, *(d for d, (_, c) in expected.items() if c == d)], key=str)
+    assert shingles.one_of_each(none).count() == 0
+
+
+def test_op1_rows_that_share_an_id(spark):
+    """Every text of a repeated id links, not only the least of them."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(f"v{i}" for i in range(60)), " ".join(f"v{i}" for i in range(59)) + " x"
+    got = shingles.near_duplicates(spark.createDataFrame([(1, a), (1, c), (2, b), (3, a + " y")], "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {1}
+
+
 def test_divide_skip():
     r = np.random.default_rng(2)
     for _ in range(200):
@@ -115,18 +130,20 @@ def test_op2(rows):
     for _, t, *_ in rows[:40]:
         w = WORD.findall(t or "")
         ids = repetition.word_ids(w)
-        mask, longest = repetition.repeats(ids, 3)
-        brute, best = [False] * len(w), 0
+        mask, n_repeats, longest = repetition.repeats(ids, 3)
+        brute, best, maximal = [False] * len(w), 0, set()
         for i in range(len(w)):
             for j in range(i + 1, len(w)):
                 k = 0
                 while j + k < len(w) and w[i + k] == w[j + k]:
                     k += 1
                 best = max(best, k)
+                if k >= 3 and (not i or w[i - 1] != w[j - 1]):
+                    maximal.add(tuple(w[i : i + k]))
                 if k >= 3:
                     for x in range(k):
                         brute[i + x] = brute[j + x] = True
-        assert mask.tolist() == brute and longest == best
+        assert mask.tolist() == brute and longest == best and n_repeats == len(maximal)
         tri = defaultdict(list)
         for i in range(len(w) - 2):
             tri[tuple(w[i : i + 3])].append(i)
@@ -186,7 +203,7 @@ def test_op3_small_sources(spark):
     """Capped sources of short texts beside one of many shards give all they may."""
     sizes = [("a", 20)] * 300 + [("b", 5)] * 2 + [("c", 500)] * 600
     docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(sizes)], "doc_id long, text string, source string")
-    got = mixing.mix(docs, shard_words=2_000).collect()
+    got = mixing.mix(docs, shard_unit=5).collect()
     assert sum(r.taken for r in got) == sum(n for _, n in sizes)
     assert all(r.taken == 3 * r["size"] for r in got if r.source != "c")
     assert all(r.taken <= 3 * r["size"] for r in got)
