@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from .functions.records import adapt, g9, in_contract, parent_of, record_size, s
 from .operators import sorting, trials, verify
 from .plans import layout
 from .plans.prefix import rank_by, sum_before
+from .plans.staged import checkpointed, shared_root
 from .sources import kvrec, logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,19 +77,20 @@ def len_contract_reject(spark, sf):
 
 @query(f"SELECT key, len, pos FROM {_striped(_DOCS, 4)} WHERE stripe = 1")
 def range_scan(spark, sf):
-    return layout.with_stripes(documents(spark, sf), 4).where("stripe = 1").select("key", "len", "pos")
+    return layout.with_stripes(documents(spark, sf).drop("payload"), 4).where("stripe = 1").select("key", "len", "pos")
 
 
 # ---------------------------------------------------------------- sorts
 @query(f"SELECT key, len, rank() OVER (ORDER BY key) AS rank FROM ({_ORDERS})")
 def global_sort_rank(spark, sf):
-    return sorting.global_sort(rank_by(orders(spark, sf), "key").select("key", "len", "rank"))
+    # rows come out in order of key: range partitions, each sorted
+    return rank_by(orders(spark, sf).select("key", "len", "seq"), "key").select("key", "len", "rank")
 
 
 @query(f"SELECT key, count(*) AS n, min(r) AS min_rank FROM (SELECT key, rank() OVER (ORDER BY key) AS r FROM ({_EVENTS})) GROUP BY key")
 def global_sort_ties(spark, sf):
     counts = events(spark, sf).groupBy("key").agg(F.count("*").alias("n"))
-    return sum_before(counts, "key", "n", "lower").select("key", "n", (F.col("lower") + 1).alias("min_rank")).orderBy("key")
+    return sum_before(counts, "key", "n", "lower").select("key", "n", (F.col("lower") + 1).alias("min_rank"))
 
 
 _SORTED = f"SELECT key, rank() OVER (ORDER BY key) AS rank FROM ({_ORDERS})"
@@ -97,12 +98,12 @@ _SORTED = f"SELECT key, rank() OVER (ORDER BY key) AS rank FROM ({_ORDERS})"
 
 @query(_SORTED)
 def sort_sorted_input(spark, sf):
-    return sorting.global_sort(rank_by(orders(spark, sf).sortWithinPartitions("key"), "key").select("key", "rank"))
+    return rank_by(orders(spark, sf).sortWithinPartitions("key").select("key", "seq"), "key").select("key", "rank")
 
 
 @query(_SORTED)
 def sort_desc_input(spark, sf):
-    return sorting.global_sort(rank_by(orders(spark, sf).sortWithinPartitions(F.desc("key")), "key").select("key", "rank"))
+    return rank_by(orders(spark, sf).sortWithinPartitions(F.desc("key")).select("key", "seq"), "key").select("key", "rank")
 
 
 @query(f"SELECT key, seq FROM ({_EVENTS}) ORDER BY key, seq LIMIT 10")
@@ -118,7 +119,7 @@ def range_partition_bounds(spark, sf):
 # ---------------------------------------------------------------- stripes and chunks
 @query(f"SELECT key, pos, stripe FROM {_striped(_DOCS, STRIPES)}")
 def stripe_assignment(spark, sf):
-    return layout.with_stripes(documents(spark, sf), STRIPES).select("key", "pos", "stripe")
+    return layout.with_stripes(documents(spark, sf).drop("payload"), STRIPES).select("key", "pos", "stripe")
 
 
 @query(
@@ -135,7 +136,7 @@ def stripe_boundaries(spark, sf):
 
 @query(f"SELECT stripe, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes FROM {_striped(_DOCS, STRIPES)} GROUP BY stripe")
 def stripe_sizes(spark, sf):
-    return layout.with_stripes(documents(spark, sf), STRIPES).groupBy("stripe").agg(F.count("*").alias("records"), F.sum("size").alias("bytes"))
+    return layout.with_stripes(documents(spark, sf).drop("payload"), STRIPES).groupBy("stripe").agg(F.count("*").alias("records"), F.sum("size").alias("bytes"))
 
 
 _PACKED = f"""WITH RECURSIVE s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stripe ORDER BY seq) AS i FROM {_striped(_EVENTS, STRIPES)}),
@@ -173,16 +174,13 @@ def run_count_total(spark, sf):
     return _packed(spark, sf).groupBy("stripe").agg((F.max("run") + 1).alias("n")).agg(F.sum("n").alias("n_runs"))
 
 
-@query(f"SELECT key, count(*) AS n, min(r) AS min_rank FROM (SELECT key, rank() OVER (ORDER BY key) AS r FROM ({_EVENTS})) GROUP BY key")
+@query(_PACKED + "SELECT s.stripe, f.run, s.seq, s.key, rank() OVER (ORDER BY s.key) AS rank FROM f JOIN s USING (stripe, i)")
 def kway_merge(spark, sf):
-    """Sorted runs, united and sorted again: what any tree of merges gives."""
-    packed = _packed(spark, sf)
-    union = None
-    for s in range(STRIPES):
-        part = sorting.local_sort(packed.where(F.col("stripe") == s), ["run"]).select("key")
-        union = part if union is None else union.unionByName(part)
-    counts = union.groupBy("key").agg(F.count("*").alias("n"))
-    return sum_before(counts, "key", "n", "lower").select("key", "n", (F.col("lower") + 1).alias("min_rank"))
+    """Sorted runs, written, then merged: each record with its run and its rank in the
+    merged order, which any tree of merges gives. The merge is one range shuffle of the
+    union of all runs; rows come out in its order."""
+    runs = checkpointed(sorting.local_sort(_packed(spark, sf), ["stripe", "run"])).select("stripe", "run", "seq", "key")
+    return rank_by(runs, "key")
 
 
 # ---------------------------------------------------------------- merge planning
@@ -283,7 +281,13 @@ def permutation_check_negative(spark, sf):
     return verify.same_multiset(rec, altered)
 
 
-@query()
+_BYTE = "CAST(('0x' || substr(h, 2 * i - 1, 2)) AS HUGEINT)"
+_LE = lambda x, n: f"array_to_string(list_transform(range({n}), lambda k: printf('%02x', ({x} >> (8 * k)) & 255)), '')"
+_FNV = f"""(SELECT len, list_reduce(list_prepend(CAST({0xCBF29CE484222325} AS HUGEINT), list_transform(range(1, length(h) // 2 + 1), lambda i: {_BYTE})),
+lambda a, b: CAST(xor(CAST(a AS HUGEINT), CAST(b AS HUGEINT)) * {0x100000001B3} % 18446744073709551616 AS HUGEINT)) AS u FROM (SELECT len, {_LE('key', 8)} || {_LE('len', 4)} || lower(hex(encode(payload))) AS h FROM ({_DOCS})))"""
+
+
+@query(f"SELECT count(*) AS records, CAST(sum(12 + len) AS BIGINT) AS bytes, CAST(sum(u) % 18446744073709551616 AS VARCHAR) AS hash_sum, bit_xor(CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT)) AS hash_xor FROM {_FNV}")
 def fnv_fingerprint(spark, sf):
     return verify.fnv_fingerprint(documents(spark, sf))
 
@@ -312,28 +316,75 @@ def trial_summary(spark, sf):
     return _summary(spark, sf).select("impl", "threads", "trials", *[F.round(c, 5).alias(c) for c in ("avg_total_s", "min_total_s", "max_total_s", "stdev_total_s", "avg_sort_s", "avg_merge_s")])
 
 
-@query(f"SELECT s.impl, s.threads, round(b.avg_total_s / s.avg_total_s, 5) AS speedup, round(b.avg_total_s / s.avg_total_s / s.threads, 5) AS efficiency FROM {_SUMMARY} s JOIN {_SUMMARY} b ON b.impl = s.impl AND b.threads = 1")
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN isfinite({a}) AND isfinite({b}) AND {a} > 0 AND {b} > 0 THEN {a} / {b} ELSE CAST('nan' AS DOUBLE) END"
+
+
+def _scaled(prefix: str, scale: str) -> str:
+    """SQL of speedups, efficiencies and aliases of the phases of s against b."""
+    out = []
+    for phase, alias in (("total", "total"), ("sort", "phase1"), ("merge", "phase2")):
+        name = prefix if phase == "total" else f"{prefix}{phase}_"
+        speedup = _ratio(f"b.avg_{phase}_s", f"s.avg_{phase}_s")
+        for column in (f"{name}speedup", f"{alias}_speedup"):
+            out.append(f"round({speedup}, 5) AS {column}")
+        for column in (f"{name}efficiency", f"{alias}_efficiency"):
+            out.append(f"round({speedup} / {scale}, 5) AS {column}")
+    return ", ".join(out)
+
+
+def _rounded(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, *[F.round(c, 5).alias(c) for c, t in df.dtypes if t == "double" and c not in keys and not c.startswith(("avg_", "min_", "max_", "stdev_"))])
+
+
+_BASE = ", ".join(f"round(coalesce(b.avg_{p}_s, CAST('nan' AS DOUBLE)), 5) AS baseline_{p}_s" for p in ("total", "sort", "merge"))
+
+
+@query(f"SELECT s.impl, s.threads, {_BASE}, {_scaled('', 's.threads')} FROM {_SUMMARY} s LEFT JOIN {_SUMMARY} b ON b.impl = s.impl AND b.threads = 1")
 def baseline_speedup(spark, sf):
-    return trials.thread_speedup(_summary(spark, sf), ["impl"]).select("impl", "threads", F.round("speedup", 5).alias("speedup"), F.round("efficiency", 5).alias("efficiency"))
+    return _rounded(trials.thread_speedup(_summary(spark, sf), ["impl"]), "impl", "threads")
+
 
+# One summary in four has no finite total, so that some baselines are not those of fewest nodes.
+_NODES = f"(SELECT impl, threads AS nodes, CASE WHEN length(impl) % 2 = 0 AND threads = 1 THEN CAST('nan' AS DOUBLE) ELSE avg_total_s END AS avg_total_s, avg_sort_s, avg_merge_s FROM {_SUMMARY})"
 
-_NODES = f"(SELECT impl, threads AS nodes, avg_total_s FROM {_SUMMARY})"
 
+def _nodes(spark, sf):
+    total = F.when(F.expr("length(impl) % 2 = 0 and threads = 1"), F.lit(float("nan"))).otherwise(F.col("avg_total_s"))
+    return _summary(spark, sf).select("impl", F.col("threads").alias("nodes"), total.alias("avg_total_s"), "avg_sort_s", "avg_merge_s")
 
-@query(f"SELECT s.impl, s.nodes, round(b.avg_total_s / s.avg_total_s, 5) AS speedup, round(b.avg_total_s / s.avg_total_s / (s.nodes / b.nodes), 5) AS efficiency FROM {_NODES} s JOIN {_NODES} b ON b.impl = s.impl WHERE b.nodes = (SELECT min(nodes) FROM {_NODES} c WHERE c.impl = s.impl)")
+
+@query(f"WITH n AS {_NODES}, b AS (SELECT * FROM n WHERE isfinite(avg_total_s) QUALIFY row_number() OVER (PARTITION BY impl ORDER BY nodes) = 1) SELECT s.impl, s.nodes, b.nodes AS baseline_nodes, {_scaled('strong_', '(s.nodes / b.nodes)')} FROM n s JOIN b ON b.impl = s.impl")
 def strong_speedup(spark, sf):
-    nodes = _summary(spark, sf).select("impl", F.col("threads").alias("nodes"), "avg_total_s")
-    return trials.node_speedup(nodes, ["impl"]).select("impl", "nodes", F.round("speedup", 5).alias("speedup"), F.round("efficiency", 5).alias("efficiency"))
+    return _rounded(trials.node_speedup(_nodes(spark, sf), ["impl"]), "impl", "nodes", "baseline_nodes")
 
 
-_CAP = f"(SELECT impl, nodes, CAST(nodes * 0.5 AS DOUBLE) AS total_gib, (nodes * 0.5) / avg_total_s AS throughput_gib_s, (nodes * 0.5) / avg_total_s * 180 AS capacity_gib FROM {_NODES})"
+_CAP = f"""(SELECT *, total_gib / nodes AS gib_per_node, throughput_gib_s / nodes AS throughput_gib_node_s, throughput_gib_s * 180 AS capacity_total_gib, throughput_gib_s * 180 / nodes AS capacity_gib_per_node FROM (SELECT *, CAST(nodes * 0.5 AS DOUBLE) AS total_gib, CASE WHEN isfinite(avg_total_s) THEN nodes * 0.5 / avg_total_s ELSE CAST('nan' AS DOUBLE) END AS throughput_gib_s FROM {_NODES}))"""
+_CAP_COLUMNS = ("total_gib", "gib_per_node", "throughput_gib_s", "throughput_gib_node_s", "capacity_total_gib", "capacity_gib_per_node")
 
 
-@query(f"SELECT s.impl, s.nodes, round(s.total_gib, 5) AS total_gib, round(s.throughput_gib_s, 5) AS throughput_gib_s, round(s.capacity_gib, 5) AS capacity_gib, round(s.capacity_gib / s.nodes, 5) AS capacity_gib_per_node, round(s.capacity_gib / b.capacity_gib, 5) AS capacity_scale, round((s.capacity_gib / s.nodes) / (b.capacity_gib / b.nodes), 5) AS capacity_efficiency FROM {_CAP} s JOIN {_CAP} b ON b.impl = s.impl WHERE b.nodes = (SELECT min(nodes) FROM {_NODES} c WHERE c.impl = s.impl)")
+@query(f"SELECT impl, nodes, {', '.join(f'round({c}, 5) AS {c}' for c in _CAP_COLUMNS)} FROM {_CAP}")
 def weak_capacity(spark, sf):
-    df = _summary(spark, sf).select("impl", F.col("threads").alias("nodes"), F.col("avg_total_s").alias("total_s"), (F.col("threads").cast("long") * 536870912).alias("input_bytes"), F.lit(180.0).alias("time_budget_s"))
-    out = trials.weak_efficiency(trials.capacity(df), ["impl"])
-    return out.select("impl", "nodes", *[F.round(c, 5).alias(c) for c in ("total_gib", "throughput_gib_s", "capacity_gib", "capacity_gib_per_node", "capacity_scale", "capacity_efficiency")])
+    out = _capacity(spark, sf)
+    return out.select("impl", "nodes", *[F.round(c, 5).alias(c) for c in _CAP_COLUMNS])
+
+
+def _capacity(spark, sf):
+    n = _nodes(spark, sf)
+    return trials.capacity(n.select("*", F.col("avg_total_s").alias("total_s"), (F.col("nodes").cast("long") * 536870912).alias("input_bytes"), F.lit(180.0).alias("time_budget_s")))
+
+
+_WEAK_SCALE, _WEAK_EFFICIENCY = _ratio("s.capacity_total_gib", "b.capacity_total_gib"), _ratio("s.capacity_gib_per_node", "b.capacity_gib_per_node")
+_WEAK = _scaled("weak_", "1").replace(" AS total_speedup", " AS weak_total_speedup").replace(" AS total_efficiency", " AS weak_total_efficiency")
+
+
+@query(f"""WITH n AS {_CAP}, b AS (SELECT * FROM n WHERE isfinite(avg_total_s) OR isfinite(capacity_total_gib) QUALIFY row_number() OVER (PARTITION BY impl ORDER BY nodes) = 1),
+w AS (SELECT s.impl, s.nodes, b.nodes AS baseline_nodes, round({_WEAK_SCALE}, 5) AS weak_capacity_scale, round({_WEAK_EFFICIENCY}, 5) AS weak_capacity_efficiency,
+round(CASE WHEN isfinite({_WEAK_SCALE}) THEN b.capacity_total_gib ELSE CAST('nan' AS DOUBLE) END, 5) AS baseline_capacity_total_gib, round(CASE WHEN isfinite({_WEAK_EFFICIENCY}) THEN b.capacity_gib_per_node ELSE CAST('nan' AS DOUBLE) END, 5) AS baseline_capacity_gib_per_node, {_WEAK} FROM n s JOIN b ON b.impl = s.impl)
+SELECT * EXCLUDE (weak_total_speedup, weak_total_efficiency), CASE WHEN isfinite(weak_capacity_scale) AND isfinite(weak_capacity_efficiency) THEN weak_capacity_scale ELSE weak_total_speedup END AS total_speedup, CASE WHEN isfinite(weak_capacity_scale) AND isfinite(weak_capacity_efficiency) THEN weak_capacity_efficiency ELSE weak_total_efficiency END AS total_efficiency FROM w""")
+def weak_speedup(spark, sf):
+    df = _capacity(spark, sf).select("impl", "nodes", "avg_total_s", "avg_sort_s", "avg_merge_s", F.col("capacity_total_gib").alias("avg_capacity_total_gib"), F.col("capacity_gib_per_node").alias("avg_capacity_gib_per_node"))
+    return _rounded(trials.weak_efficiency(df, ["impl"]), "impl", "nodes", "baseline_nodes")
 
 
 @query("SELECT event_type AS impl, CAST(arg_min(1 << CAST(user_id % 4 AS INT), o) AS INT) AS merge_fan, CAST(arg_min(user_id // 4, o) AS INT) AS chunk_mb, min(value) AS total_s FROM (SELECT *, (value, 1 << CAST(user_id % 4 AS INT), user_id // 4) AS o FROM events) GROUP BY event_type")
@@ -377,16 +428,13 @@ def number_rendering(spark, sf):
 # ---------------------------------------------------------------- files and generator
 @query(f"SELECT count(*) AS records, CAST(sum(12 + len) AS BIGINT) AS bytes, CAST(sum(CAST(h AS HUGEINT)) % 1000000000000000003 AS BIGINT) AS hash_sum, bit_xor(h) AS hash_xor FROM (SELECT len, CAST('0x' || substr(md5(CAST(key AS VARCHAR) || '|' || payload), 1, 15) AS BIGINT) AS h FROM ({_ORDERS}))")
 def binary_roundtrip(spark, sf):
-    """Written sorted as one binary file, read back by four aligned splits. The file is on
-    a disk that driver and workers share."""
-    import atexit
-
+    """Written sorted as binary parts in the shared folder, read back by four aligned splits
+    of each."""
     kvrec.register(spark)
-    folder = tempfile.mkdtemp(prefix="kvrec-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{shared_root(spark)}/orders-{uuid.uuid4().hex}"
     records = kvrec.to_records(orders(spark, sf))
-    sorting.range_sort(records, 8, "sort_key").write.format("kvrec").mode("overwrite").option("singleFile", "true").save(f"{folder}/orders.bin")
-    back = spark.read.format("kvrec").option("partitions", "4").load(f"{folder}/orders.bin")
+    sorting.range_sort(records, spark.sparkContext.defaultParallelism, "sort_key").write.format("kvrec").mode("overwrite").save(path)
+    back = spark.read.format("kvrec").option("partitions", "4").load(path)
     return verify.fingerprint(back.select(F.conv(F.hex("key"), 16, 10).cast("long").alias("key"), "len", F.col("payload").cast("string").alias("payload")))
 
 

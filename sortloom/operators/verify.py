@@ -36,6 +36,13 @@ def fnv_fingerprint(records: DataFrame) -> DataFrame:
     return hashed.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.lit(HEADER_BYTES) + F.col("len")), F.lit(0)).cast("long").alias("bytes"), F.pmod(F.coalesce(F.sum(unsigned), F.lit(0)).cast("decimal(38,0)"), F.lit(TWO64).cast("decimal(38,0)")).cast("string").alias("hash_sum"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor"))
 
 
+def output_check(source: DataFrame, output: DataFrame) -> DataFrame:
+    """One row: whether the output has as many bytes as its source, and more than none, as
+    a cheap check after each run."""
+    size = lambda d: d.agg(F.coalesce(F.sum(F.lit(HEADER_BYTES) + F.col("len")), F.lit(0)).cast("long").alias("bytes"))
+    return size(source).alias("a").join(F.broadcast(size(output).alias("b"))).select(((F.col("a.bytes") == F.col("b.bytes")) & (F.col("b.bytes") > 0)).alias("ok"))  # one row each
+
+
 def same_multiset(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: whether two record streams have equal fingerprints."""
     left, right = fingerprint(a), fingerprint(b)

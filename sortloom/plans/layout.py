@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from .prefix import sum_before
 
 
 def positions(records: DataFrame) -> DataFrame:
-    """records (seq, len) with size and pos, the bytes before each."""
+    """records (seq, len) with size and pos, the bytes before each. All columns are written
+    on the way: select those that are wanted first."""
     return sum_before(records.withColumn("size", (F.lit(HEADER_BYTES) + F.col("len")).cast("long")), "seq", "size", "pos")
 
 
@@ -28,15 +30,15 @@ def stripe_of(pos: str, total: str, stripes: Column | int) -> Column:
 
 def with_stripes(records: DataFrame, stripes: int) -> DataFrame:
     placed = positions(records)
-    total = records.agg(F.coalesce(F.sum(F.lit(HEADER_BYTES) + F.col("len")), F.lit(0)).cast("long").alias("total"))
+    total = placed.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total"))
     return placed.join(F.broadcast(total)).withColumn("stripe", stripe_of("pos", "total", stripes))  # one row
 
 
 def stripe_bounds(records: DataFrame, counts: list[int]) -> DataFrame:
     """For each number of stripes, the offsets where stripes begin, and the end."""
     spark = records.sparkSession
-    placed = positions(records)
-    total = records.agg(F.coalesce(F.sum(F.lit(HEADER_BYTES) + F.col("len")), F.lit(0)).cast("long").alias("total"))
+    placed = positions(records.select("seq", "len"))
+    total = placed.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total"))
     wanted = spark.createDataFrame([(p,) for p in counts], "stripes int").select("stripes", F.explode(F.sequence(F.lit(0), F.col("stripes"))).alias("r"))
     each = F.array(*[F.struct(F.lit(p).alias("stripes"), stripe_of("pos", "total", p).alias("stripe")) for p in counts])
     dealt = placed.join(F.broadcast(total)).select("pos", F.explode(each).alias("s")).groupBy("s.stripes", "s.stripe").agg(F.min("pos").alias("begins"))
@@ -45,27 +47,47 @@ def stripe_bounds(records: DataFrame, counts: list[int]) -> DataFrame:
     return later.join(F.broadcast(total)).select("stripes", F.col("r").alias("boundary"), F.when(F.col("r") == 0, F.lit(0).cast("long")).otherwise(F.coalesce("begins", "total")).alias("offset"))
 
 
+def packer(chunk: int):
+    """A fold over sizes in order, by stripe: the run of each record. It takes a step for
+    each run: within one, the running sum tells where the chunk is full."""
+    state = {"stripe": None, "used": 0, "run": 0}
+
+    def pack(stripe: int, sizes: np.ndarray) -> np.ndarray:
+        if stripe != state["stripe"]:
+            state.update(stripe=stripe, used=0, run=0)
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        runs, at = np.empty(len(sizes), np.int32), 0
+        while at < len(sizes):
+            end = int(np.searchsorted(upto, chunk - state["used"] + upto[at], side="right")) - 1
+            if end <= at:
+                if state["used"]:
+                    state.update(used=0, run=state["run"] + 1)
+                    continue
+                end = at + 1  # a record larger than the chunk has one of its own
+            runs[at:end] = state["run"]
+            state["used"] += int(upto[end] - upto[at])
+            at = end
+        return runs
+
+    return pack
+
+
 def pack_chunks(records: DataFrame, chunk: int, stripes: int) -> DataFrame:
     """Greedy packing of each stripe's records into chunks: a record that would overfill
     the chunk begins the next. A fold over each stripe in file order; stripes in parallel,
     rows streaming, with a few numbers of state."""
-    rows = with_stripes(records, stripes).select("stripe", "seq", "key", "size", "pos")
+    rows = with_stripes(records.select("seq", "key", "len"), stripes).select("stripe", "seq", "key", "size", "pos")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stripe, used, run = None, 0, 0
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = packer(chunk)
         for batch in batches:
-            runs = []
-            for s, size in zip(batch["stripe"].tolist(), batch["size"].tolist(), strict=True):
-                if s != stripe:
-                    stripe, used, run = s, 0, 0
-                if used and used + size > chunk:
-                    run, used = run + 1, 0
-                used += size
-                runs.append(run)
-            yield batch.assign(run=pd.Series(runs, dtype="int32", index=batch.index))
+            stripe, size = batch.column("stripe").to_numpy(), batch.column("size").to_numpy()
+            edges = np.concatenate(([0], np.flatnonzero(stripe[1:] != stripe[:-1]) + 1, [len(stripe)]))
+            runs = [pack(int(stripe[a]), size[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.empty(0, np.int32), *runs]))], names=[*batch.schema.names, "run"])
 
     dealt = rows.repartition(max(1, stripes), "stripe").sortWithinPartitions("stripe", "seq")
-    return dealt.mapInPandas(fold, "stripe int, seq long, key long, size long, pos long, run int")
+    return dealt.mapInArrow(fold, "stripe int, seq long, key long, size long, pos long, run int")
 
 
 def run_summary(packed: DataFrame) -> DataFrame:
@@ -76,11 +98,9 @@ def run_summary(packed: DataFrame) -> DataFrame:
 def merge_levels(spark: SparkSession, runs: list[int], fan: int) -> DataFrame:
     """runs, pass, and how many runs go in and come out, until one is left."""
     base = spark.createDataFrame([(r,) for r in runs], "runs int")
-    upto = F.when(F.col("runs") > 1, F.sequence(F.lit(1), F.ceil(F.log(float(fan), F.col("runs"))).cast("int") + 1)).otherwise(F.array().cast("array<int>"))
-    power = lambda k: F.pow(F.lit(fan), k).cast("long")
-    ceil_div = lambda a, b: F.floor((a + b - 1) / b).cast("int")
-    out = base.select("runs", F.explode(upto).alias("pass")).select("runs", "pass", ceil_div(F.col("runs"), power(F.col("pass") - 1)).alias("runs_in"), ceil_div(F.col("runs"), power(F.col("pass"))).alias("runs_out"))
-    return out.where("runs_in > 1")
+    # levels by integer division, as a pass deals them
+    levels = F.expr(f"aggregate(sequence(1, 40), array(named_struct('pass', 0, 'runs_in', 0L, 'runs_out', cast(runs as bigint))), (a, i) -> if(element_at(a, -1).runs_out > 1, concat(a, array(named_struct('pass', i, 'runs_in', element_at(a, -1).runs_out, 'runs_out', (element_at(a, -1).runs_out + {fan - 1}) div {fan}))), a))")
+    return base.select("runs", F.explode(F.slice(levels, 2, 40)).alias("l")).select("runs", F.col("l.pass").alias("pass"), F.col("l.runs_in").cast("int").alias("runs_in"), F.col("l.runs_out").cast("int").alias("runs_out"))
 
 
 def merge_groups(spark: SparkSession, runs: list[int], fan: int) -> DataFrame:

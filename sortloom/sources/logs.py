@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.records import lenient_double, lenient_int
+from ..functions.records import g9, lenient_double, lenient_int
 
 
-def read_csv(spark: SparkSession, folder: str, name: str, doubles: tuple[str, ...] = (), ints: tuple[str, ...] = ()) -> DataFrame:
-    """A raw CSV of a folder, or of all its run_* folders together; none: no rows. Bad
-    numbers become NaN or 0."""
+def read_csv(spark: SparkSession, folder: str, name: str, doubles: tuple[str, ...] = (), ints: tuple[str, ...] = (), strings: tuple[str, ...] = ()) -> DataFrame:
+    """A raw CSV of a folder, or of all its run_* folders together, joined by column name;
+    none: no rows. Bad numbers become NaN or 0, and so do doubles and ints that a file
+    lacks; strings that it lacks are null."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -20,9 +23,12 @@ def read_csv(spark: SparkSession, folder: str, name: str, doubles: tuple[str, ..
         return sorted(s.getPath().toString() for s in path.getFileSystem(conf).globStatus(path) or [])
 
     files = found(f"{folder}/{name}") or found(f"{folder}/run_*/{name}")
-    if not files:
-        return spark.createDataFrame([], T.StructType([]))
-    df = spark.read.option("header", True).csv(files)
+    parts = [d for f in files if (d := spark.read.option("header", True).csv(f)).columns]
+    wanted = (*strings, *doubles, *ints)
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in wanted]))
+    for c in wanted:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
     for c in doubles:
         df = df.withColumn(c, lenient_double(F.col(c)))
     for c in ints:
@@ -30,6 +36,13 @@ def read_csv(spark: SparkSession, folder: str, name: str, doubles: tuple[str, ..
     return df
 
 
+def write_csv(df: DataFrame, folder: str) -> None:
+    """A CSV with a header, numbers of nine significant digits; without rows the header
+    alone."""
+    shown = [g9(F.col(n)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes]
+    df.select(*shown).coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
+
+
 def newest_run(spark: SparkSession, folder: str) -> str | None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{folder}/run_*")
