@@ -296,7 +296,7 @@ def utf8(column) -> list[bytes]:
 def slices(batches: Iterator, column: int = 1, most: int = 1 << 20) -> Iterator:
     """Batches cut to about so many bytes of a text column, a row at least."""
     for batch in batches:
-        upto = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+        upto = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column(column)).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)))
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(upto, upto[at] + most, side="right")) - 1)

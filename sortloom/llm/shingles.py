@@ -21,7 +21,7 @@ On a cluster the lists are split over the short and the long side as follows.
    positional filter and one on the parities of the rests of the sets. Candidates are
    searched exactly (4.); connected
    components of the links collapse large groups of near copies.
-4. A candidate search takes a query class with its candidates: candidates' sets make
+4. A candidate search takes a query class with its candidates' texts: their sets make
    inverted lists over the query's shingles; the short lists are merged with a heap,
    those that reach T - L probe the L long lists by binary search, and those that
    reach the required overlap are links.
@@ -58,7 +58,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WordHashes, bitmap, bucket_of, buckets_for, cell_of, cuts, gram_hashes, mix, multipliers, runs_of, sift, squeeze, squeeze_sorted, stage, tidy, unsqueeze, unsqueeze_sorted, unstage, utf8
+from .common import LOWER, WordHashes, bitmap, bucket_of, buckets_for, cell_of, cuts, gram_hashes, mix, multipliers, runs_of, sift, slices, squeeze, squeeze_sorted, stage, tidy, unsqueeze, unsqueeze_sorted, unstage, utf8
 
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch of list lengths: a fixed 8 MB, whatever the corpus.
@@ -389,34 +389,35 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], least: np.ndarray, lo
     return out
 
 
-def _search(percent: int):
-    """Rows (query class, part, kind, class, set): the query's own sets (kind 0; more than
-    one if rows share its doc_id but not a text), then its candidates' sets. Candidates are
+def _search(percent: int, words: int):
+    """Rows (query class, part, kind, class, text): the query's own texts (kind 0; more than
+    one if rows share its doc_id but not a text), then its candidates'. Candidates are
     searched in blocks, so memory has a bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, parts in runs_of(batches, "a"):
+        hashes = WordHashes()
+        for a, parts in runs_of(slices(batches, 4, 4 << 20), "a"):
             queries: list[np.ndarray] = []
             links: set[int] = set()
             asked = False
             for part in parts:
-                kinds, others, sets = part.column("kind").to_pylist(), part.column("b").to_pylist(), part.column("shingles").to_pylist()
+                kinds, others = part.column("kind").to_pylist(), part.column("b").to_pylist()
+                sets = list(_sets(utf8(part.column("text")), hashes, words))
                 i = 0
                 while i < len(sets):
                     if kinds[i] == 0:
                         if asked:  # the next part of the same query
                             queries, asked = [], False
-                        queries.append(np.frombuffer(sets[i], np.uint64))
+                        queries.append(sets[i])
                         i += 1
                         continue
                     if not queries:
-                        raise ValueError("a query lacks its set")
+                        raise ValueError("a query lacks its text")
                     asked = True
                     end = next((j for j in range(i, min(i + 256, len(sets))) if kinds[j] == 0), min(i + 256, len(sets)))
-                    block = [np.frombuffer(s, np.uint64) for s in sets[i:end]]
                     for query in queries:
-                        least = overlap_needed(len(query), np.array([len(s) for s in block]), percent)
-                        links.update(b for b, ok in zip(others[i:end], divide_skip(query, block, least), strict=True) if ok)
+                        least = overlap_needed(len(query), np.array([len(s) for s in sets[i:end]]), percent)
+                        links.update(b for b, ok in zip(others[i:end], divide_skip(query, sets[i:end], least), strict=True) if ok)
                     i = end
                 if len(links) > 100_000:
                     yield _linked(a, links)
@@ -431,48 +432,40 @@ def _linked(a: int, links: set[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a] * len(links), pa.int64()), pa.array(sorted(links), pa.int64())], _PAIRS.names)
 
 
-_SET = T.StructType([T.StructField("class", T.LongType()), T.StructField("shingles", T.BinaryType())])
+def _once_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (class, text) that a task has not seen just before: of a row that a third of all
+    rows repeat, one a task travels."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for c, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            key = hashlib.blake2b(text, digest_size=16, key=c.to_bytes(8, "little", signed=True)).digest()
+            keep.append(key not in seen)
+            seen.add(key)
+        if len(seen) > 500_000:
+            seen.clear()
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-class _Texts:
-    """Reads the sets of given classes again from the documents that stand for them."""
-
-    def __init__(self, docs: DataFrame, k: int):
-        self.docs, self.k = docs, k
-
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """class, shingles of wanted (class), a row for each text. A fixed-size bitmap of the wanted keeps most
-        other texts out of the join; what it lets pass, the join drops."""
-        spark, k = wanted.sparkSession, self.k
-        shared = spark.sparkContext.broadcast(bitmap(wanted.select(cell_of("class"))))
-
-        def read(batches):
-            hashes = WordHashes()
-            for batch in batches:
-                for i in range(0, batch.num_rows, 500):
-                    part = batch.slice(i, 500)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in _sets(utf8(part.column(1)), hashes, k)], pa.binary())], _SET.names)
-
-        rows = self.docs.select(F.col("doc_id").alias("class"), "text", cell_of("doc_id")).where("class is not null")
-        # of rows that share an id, each different text has its set
-        found = rows.mapInArrow(tidy(sift(shared, True)), "class long, text string").join(wanted, "class", "left_semi").dropDuplicates(["class", "text"])
-        return found.mapInArrow(tidy(read), _SET)
-
-
-def exact_links(pairs: DataFrame, texts: _Texts, percent: int, name: str) -> DataFrame:
+def exact_links(pairs: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) that link. A query's candidates are dealt over tasks in parts of
-    about CANDIDATES, each with the query's own set: the hub of a large group of near copies
-    is the query of many."""
+    about CANDIDATES, each with the query's own text: the hub of a large group of near copies
+    is the query of many. Texts travel, not sets: words compress, hashes don't. A bitmap of
+    fixed size keeps most texts that no pair names out of the join."""
+    spark = pairs.sparkSession
     pairs = stage(pairs.distinct(), f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = stage(texts.sets(wanted), f"{name}-sets")
     parts = pairs.groupBy("a").agg((F.expr(f"count(*) div {CANDIDATES}") + 1).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
-    own = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("class", "a"), "a").select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "shingles")
-    others = dealt.join(sets.withColumnRenamed("class", "b"), "b").select("a", "part", F.lit(1).alias("kind"), "b", "shingles")
-    asked = own.unionByName(others).repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "kind", "b")
-    links = stage(asked.mapInArrow(tidy(_search(percent)), _PAIRS), f"{name}-links")
-    unstage(pairs, sets)
+    own = dealt.select(F.col("a").alias("class"), "a", "part", F.lit(0).alias("kind")).distinct()
+    ways = own.unionByName(dealt.select(F.col("b").alias("class"), "a", "part", F.lit(1).alias("kind")))
+    shared = spark.sparkContext.broadcast(bitmap(pairs.select(cell_of("a")).unionByName(pairs.select(cell_of("b")))))
+    rows = docs.select(F.col("doc_id").alias("class"), "text", cell_of("doc_id")).where("class is not null")
+    # of rows that share an id, each different text has its set
+    texts = rows.mapInArrow(tidy(sift(shared, True)), "class long, text string").mapInArrow(tidy(_once_a_task), "class long, text string")
+    texts = texts.repartition(F.col("class")).dropDuplicates(["class", "text"])
+    asked = texts.join(ways, "class").select("a", "part", "kind", F.col("class").alias("b"), "text").repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "kind", "b")
+    links = stage(asked.mapInArrow(tidy(_search(percent, words)), _PAIRS).distinct(), f"{name}-links")
+    unstage(pairs)
     return links
 
 
@@ -515,11 +508,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     def lists(sides: DataFrame) -> DataFrame:
         return sides.mapInArrow(tidy(_post(buckets)), _POSTED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
-    texts = _Texts(docs, words)
-    near = exact_links(lists(short.withColumn("grp", F.col("class"))).mapInArrow(tidy(_chain_and_star(percent)), _PAIRS), texts, percent, "near")
+    near = exact_links(lists(short.withColumn("grp", F.col("class"))).mapInArrow(tidy(_chain_and_star(percent)), _PAIRS), docs, words, percent, "near")
     groups = stage(components(spark, near), "groups")
     grouped = short.join(groups.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "parity", "short", F.coalesce("component", "class").alias("grp"))
-    far = exact_links(lists(grouped).mapInArrow(tidy(_across(percent)), _PAIRS), texts, percent, "far")
+    far = exact_links(lists(grouped).mapInArrow(tidy(_across(percent)), _PAIRS), docs, words, percent, "far")
     joined = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)
     final = components(spark, joined).withColumnRenamed("node", "class")
 
