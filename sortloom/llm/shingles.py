@@ -460,8 +460,10 @@ def exact_links(pairs: DataFrame, docs: DataFrame, words: int, percent: int, nam
     ways = own.unionByName(dealt.select(F.col("b").alias("class"), "a", "part", F.lit(1).alias("kind")))
     shared = spark.sparkContext.broadcast(bitmap(pairs.select(cell_of("a")).unionByName(pairs.select(cell_of("b")))))
     rows = docs.select(F.col("doc_id").alias("class"), "text", cell_of("doc_id")).where("class is not null")
-    # of rows that share an id, each different text has its set
-    texts = rows.mapInArrow(tidy(sift(shared, True)), "class long, text string").mapInArrow(tidy(_once_a_task), "class long, text string")
+    wanted = sift(shared, True)
+    # of rows that share an id, each different text has its set; one function for both steps,
+    # as each mapInArrow of a task takes a worker of its own, which then stays
+    texts = rows.mapInArrow(tidy(lambda batches: _once_a_task(wanted(batches))), "class long, text string")
     texts = texts.repartition(F.col("class")).dropDuplicates(["class", "text"])
     asked = texts.join(ways, "class").select("a", "part", "kind", F.col("class").alias("b"), "text").repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "kind", "b")
     links = stage(asked.mapInArrow(tidy(_search(percent, words)), _PAIRS).distinct(), f"{name}-links")
